@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from cairn.llm.common import slices, text_array
+from cairn.llm.tokens import byte_letters
 
 #: Units and pairs that a worker keeps; beyond, they are solved again. Bounds memory only.
 KEPT, KEPT_PAIRS = 500_000, 2_000_000
@@ -34,18 +35,6 @@ UNIT = regex.compile(rf"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 WIDE = "\u0085| | |[ - ]| | | | |　"
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: itself if printable, else the next one from U+0100."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, spare = [""] * 256, 256
-    for b in range(256):
-        if b in shown:
-            out[b] = chr(b)
-        else:
-            out[b], spare = chr(spare), spare + 1
-    return out
-
-
 class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

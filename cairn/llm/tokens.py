@@ -1,8 +1,16 @@
-"""Exact token ids of public tokenizers that drop white space, each distinct word encoded once."""
+"""Exact token ids of public tokenizers that drop white space, each distinct word encoded once.
+
+Words of plain letters, with or without marks after them, go straight to the library's
+merging model; all others through the whole library.  That, and lower-casing A-Z
+beforehand, is done only for tokenizers that pass a test of it when they are loaded.
+"""
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many workers as there are cores
 
@@ -21,6 +29,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,!?;:#$%&*|]*)")
+PROBES = ["the", "THE", "été,", "ÜBER!!", "straße.", "thnd***", "a", "ñandú|", "hello?!", "ofthnd$$$", "çà&&&", "zzzzqqqq", "I.", "ÿ:"]
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if printable, else the next one from U+0100."""
+    out, spare = [], 256
+    for b in range(256):
+        shown = 33 <= b < 127 or 161 <= b < 173 or b >= 174
+        out.append(chr(b if shown else spare))
+        spare += not shown
+    return out
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of every run in turn."""
     ends = np.cumsum(lengths)
@@ -35,12 +57,61 @@ class WordIds:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        self.letters = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in enumerate(byte_letters())})
         self.row: dict[str, int] = {}
+        self.marks: dict[str, list[int]] = {"": []}
+        whole = [self._whole(w) for w in PROBES]
+        self.lowers = whole == [self._whole(pc.ascii_lower(w).as_py()) for w in PROBES]
+        self.plain = self.lowers and whole == [self._word(pc.utf8_lower(w).as_py()) for w in PROBES]
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _whole(self, word: str) -> list[int]:
+        return self.library.encode(word, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of letters by the merging model, and of marks after them by the library."""
+        letters, marks = PLAIN.fullmatch(word).groups()
+        if marks not in self.marks:
+            if len(self.marks) > KEPT:
+                self.marks = {"": []}
+            self.marks[marks] = self._whole(marks)
+        found = self.library.model.tokenize(letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(self.letters))
+        return [t.id for t in found] + self.marks[marks]
+
+    def _learn(self, words: list[str]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        rest = list(range(len(words)))
+        if self.plain:
+            cores: dict[str, list[int]] = {}
+            rest, merge, letters, known, marks = [], self.library.model.tokenize, self.letters, self.row, self.marks
+            for i, m in enumerate(map(PLAIN.fullmatch, words)):
+                if m is None:
+                    rest.append(i)
+                    continue
+                core, mark = m.groups()
+                ids = cores.get(core)
+                if ids is None:
+                    if mark and (at := known.get(core, -1)) >= 0:
+                        ids = self.flat[self.first[at] : self.first[at] + self.size[at]].tolist()
+                    else:
+                        ids = [t.id for t in merge(core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(letters))]
+                    cores[core] = ids
+                if mark:
+                    if mark not in marks:
+                        self._word("a" + mark)
+                    ids = ids + self.marks[mark]
+                out[i] = ids
+        for a in range(0, len(rest), 8192):
+            for i, e in zip(rest[a : a + 8192], self.library.encode_batch_fast([words[i] for i in rest[a : a + 8192]], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
+
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin (with a last end)."""
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        texts = texts.cast(pa.large_string())
+        if self.lowers and not pc.any(pc.match_substring(texts, "<|")).as_py():  # special strings are told by their case
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         get = self.row.get
@@ -49,15 +120,14 @@ class WordIds:
         flat, first, size = self.flat, self.first, self.size
         if len(missing):
             words = [distinct[i] for i in missing]
-            found: list[int] = []
-            lengths = np.empty(len(words), dtype=np.int64)
-            for a in range(0, len(words), 8192):
-                for i, e in enumerate(self.library.encode_batch_fast(words[a : a + 8192], add_special_tokens=False), a):
-                    found += (ids := e.ids)
-                    lengths[i] = len(ids)
+            gc.disable()  # many small lists and no cycles
+            each = self._learn(words)
+            gc.enable()
+            lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(words))
+            found = np.fromiter(chain.from_iterable(each), dtype=np.uint32, count=int(lengths.sum()))
             rows[missing] = len(first) + np.arange(len(words))
             first = np.concatenate((first, len(flat) + np.cumsum(lengths) - lengths))
-            size, flat = np.concatenate((size, lengths)), np.concatenate((flat, np.array(found, dtype=np.uint32)))
+            size, flat = np.concatenate((size, lengths)), np.concatenate((flat, found))
             keep = min(len(words), max(0, KEPT - len(self.row)))
             if keep:
                 self.row.update(zip(words[:keep], rows[missing[:keep]].tolist()))
