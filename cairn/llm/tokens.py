@@ -19,6 +19,8 @@ import pyarrow as pa  # noqa: E402
 import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from cairn.llm.common import LOWER, buffers  # noqa: E402
+
 #: Distinct words kept by a worker; further ones are encoded again in each batch. Bounds memory only.
 KEPT = 400_000
 
@@ -108,9 +110,10 @@ class WordIds:
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin (with a last end)."""
-        texts = texts.cast(pa.large_string())
+        data, off = buffers(texts)
         if self.lowers and not pc.any(pc.match_substring(texts, "<|")).as_py():  # special strings are told by their case
-            texts = pc.ascii_lower(texts)
+            data = LOWER[data]
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data)))
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
