@@ -22,7 +22,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from cairn.llm.common import LOWER, buffers  # noqa: E402
 
 #: Distinct words kept by a worker; further ones are encoded again in each batch. Bounds memory only.
-KEPT = 400_000
+KEPT = 300_000
 
 
 def tokenizer_path(name: str) -> str:

@@ -17,26 +17,31 @@ from cairn.session import ship
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
+    ship(spark)
     return rows.keep_one_of_each(docs, odd_sketch.near_duplicates(docs))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
+    ship(spark)
     return secret_net.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    ship(spark)
     return rows.take_copies(docs, cube.mix(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path(WORD_TOKENIZER))
 
 
