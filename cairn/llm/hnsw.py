@@ -32,7 +32,9 @@ from cairn.llm.topk import usable
 
 #: Vectors in a shard at most, shards at least, queries in a block, blocks that one task takes through a graph.
 SHARD, SHARDS, QUERIES, LANE = 50_000, 4, 4096, 8
-NEIGHBOURS, BEAM, WIDEST = 16, 48, 1024
+NEIGHBOURS, BEAM, WIDEST = 12, 32, 128
+#: Points that join a graph together at most.
+GROWTH = 512
 AUDIT, TARGET = 24, 0.99
 LEVEL = 24
 CHUNK = 1 << 16
@@ -73,7 +75,7 @@ class Graph:
             self._join(level, nodes[:done], [(nodes[:done], self.x[nodes[:done]] @ self.x[nodes[:done]].T)])
         self.size[level] = done
         while done < len(nodes):
-            new = nodes[done : done + min(max(256, done // 2), 2048)]
+            new = nodes[done : done + min(max(256, done // 2), GROWTH)]
             ids, score = self.search(self.x[new], BEAM, level)
             self._join(level, new, [(ids, score), (new, self.x[new] @ self.x[new].T)])
             done += len(new)
