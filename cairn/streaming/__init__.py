@@ -1 +1 @@
-
+"""No operator of the catalogue works on streams."""
