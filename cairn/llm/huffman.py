@@ -185,7 +185,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit: in
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document in the files at path."""
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     row = spark.read.parquet(f"{path}/code").first()
     lengths, every = np.frombuffer(row["lengths"], dtype=np.uint8), row["every"]
     totals = sorted(tuple(x) for x in blocks.groupBy("part").agg(F.sum("n_ids")).collect())  # a row per written file

@@ -15,37 +15,34 @@ def take_copies(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """
     from cairn.llm.cube import words
 
-    decided = materialize(decided.select("doc_id", "size", "copies"), "copies")
-    many = materialize(decided.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("repeated")), "repeated")
+    decided = materialize(decided.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "copies")
+    many = materialize(decided.groupBy("_id").count().filter("count > 1 or _id is null").select(F.col("_id").alias("_many")), "repeated")
     n, n_many = decided.count(), many.count()
-    if not n_many:
-        plain, single = docs, decided
-    else:
-        few = small_or_shuffled(many, n_many, 16)
-        plain, single = docs.filter("doc_id is not null").join(few, F.col("doc_id") == F.col("repeated"), "left_anti"), decided.join(few, F.col("doc_id").eqNullSafe(F.col("repeated")), "left_anti")
-    wanted = single.filter("copies > 0").select(F.col("doc_id").alias("wanted"), "copies")
-    out = plain.join(small_or_shuffled(wanted, n, 24), F.col("doc_id") == F.col("wanted")).drop("wanted")
+    few = small_or_shuffled(many, n_many, 16)
+    plain, single = docs, decided
     if n_many:
-        order = Window.partitionBy("doc_id").orderBy("size", F.xxhash64("text"))
-        again = docs.withColumn("size", words(F.col("text"))).join(few, F.col("doc_id").eqNullSafe(F.col("repeated")), "left_semi").withColumn("turn", F.row_number().over(order)).drop("size")
-        turns = decided.join(few, F.col("doc_id").eqNullSafe(F.col("repeated")), "left_semi").withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "copies")))
-        turns = turns.select(F.col("doc_id").alias("of"), F.col("turn").alias("at"), "copies")
-        more = again.join(turns, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("turn") == F.col("at"))).drop("of", "at", "turn")
+        plain = docs.filter("doc_id is not null").join(few, F.col("doc_id") == F.col("_many"), "left_anti")
+        single = decided.join(few, F.col("_id").eqNullSafe(F.col("_many")), "left_anti")
+    out = plain.join(small_or_shuffled(single.filter("_copies > 0").select("_id", "_copies"), n, 24), F.col("doc_id") == F.col("_id")).drop("_id")
+    if n_many:
+        order = Window.partitionBy("doc_id").orderBy(words(F.col("text")), F.xxhash64("text"))
+        again = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_many")), "left_semi").withColumn("_turn", F.row_number().over(order))
+        turns = decided.join(few, F.col("_id").eqNullSafe(F.col("_many")), "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy("_id").orderBy("_size", "_copies")))
+        more = again.join(turns, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_turn") == F.col("_at"))).filter("_copies > 0").drop("_id", "_size", "_at", "_turn")
         out = out.unionByName(more)
-    repeated = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return out.filter("copies > 0").withColumn("copy_no", repeated).select(*docs.columns)
+    return out.withColumn("_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def keep_one_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """docs without the rows that marked (doc_id, kept) drops; of rows that repeat an id and stay, the first by text."""
-    marked = materialize(marked.select("doc_id", "kept"), "kept")
-    gone = marked.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    twice = materialize(marked.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice")), "twice")
+    marked = materialize(marked.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), "kept")
+    gone = marked.filter("not _kept").select(F.col("_id").alias("_gone")).distinct()
+    twice = materialize(marked.filter("_kept and _id is not null").groupBy("_id").count().filter("count > 1").select(F.col("_id").alias("_twice")), "twice")
     n_gone, n_twice = gone.count(), twice.count()
-    out = docs.join(small_or_shuffled(gone, n_gone, 16), F.col("doc_id") == F.col("gone"), "left_anti")
+    out = docs.join(small_or_shuffled(gone, n_gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
     if n_twice:
         few = small_or_shuffled(twice, n_twice, 16)
-        first = out.join(few, F.col("doc_id") == F.col("twice"), "left_semi")
-        first = first.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("turn = 1").drop("turn")
-        out = out.join(few, F.col("doc_id") == F.col("twice"), "left_anti").unionByName(first)
+        first = out.join(few, F.col("doc_id") == F.col("_twice"), "left_semi")
+        first = first.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_turn = 1").drop("_turn")
+        out = out.join(few, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(first)
     return out

@@ -11,7 +11,7 @@ those that reach the cutoff.
 Queries and rows meet as blocks of matrices.  Cases: vectors null, empty or holding
 null or non-finite components take no part; vectors of another length than the query
 are no candidates of it; null ids take no part; of rows that repeat an id each is a
-candidate, but never for its own id; an empty table gives no rows.
+candidate, but never for its own id, and the one with the smallest vector asks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def _ids_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score for each query (vec_id divisible by every)."""
     whole = integers(vectors)
-    asking = whole.filter(F.col("vec_id") % every == 0)
+    asking = whole.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("width", "v")).alias("x")).select("vec_id", "x.width", "x.v")
     made = materialize(blocks(asking.repartition(max(1, -(-asking.count() // QUERIES))), QUERIES).withColumn("key", F.monotonically_increasing_id()), "queries")
     order = made.select("key", (F.row_number().over(Window.orderBy("key")) - 1).cast("int").alias("block"))  # a row per block
     numbered = materialize(made.join(order, "key").drop("key"), "queries")

@@ -1,0 +1,294 @@
+"""Operators against brute force, exact round trips and held-out labels."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from cairn.llm import cube, hnsw, huffman, licenses, odd_sketch, packing, prefix_counts, quality, secret_net, tokens, topk
+from cairn.llm.common import buffers, table
+from cairn.llm.queries import QUERIES
+
+WORDS, BYTES = tokens.tokenizer_path("word_bpe_49k.json"), tokens.tokenizer_path("byte_bpe_50k.json")
+ODD = ["", "  a", "a  b   c \n d\n\n  e \t", "it's I'LL don't'll 'r 're!'ve", "<|endoftext|>a <|endoftext|> b<|endoftext|>", "x\x1c\x1d y", "a\xa0b 　c 🙂🙂 中文字 ﬁ é", "trail ", "a" * 300, "!!!???***&&&%%%###", "12345 ½ 2nd", "İSTANBUL Σίσυφος ΣΑΣ", "x<|ENDOFTEXT|>y <|startoftext|>"]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, small):
+    return {r["doc_id"]: r["text"] for r in table(spark, small, "documents").select("doc_id", "text").collect()}
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def test_word_ids_are_the_librarys(texts):
+    library, every = Tokenizer.from_file(WORDS), [*texts.values(), *ODD]
+    made = tokens.WordIds(WORDS)
+    assert made.plain
+    for part in (every, every[7:90], ODD[:4]):  # also from what is kept, and from slices
+        ids, of = made.encode_all(pa.array(["zz", *part]).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(of, of[1:])] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_prefix_counts_are_the_librarys(texts):
+    library, made, every = Tokenizer.from_file(BYTES), prefix_counts.counter(BYTES), [*texts.values(), *ODD]
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert made.count_all(pa.array(every)).tolist() == list(map(count, every))
+    for t in [*ODD, every[3][:200]]:
+        assert made.prefixes(t).tolist() == [count(t[:i]) for i in range(len(t) + 1)]
+    assert count(made.truncate(every[0], 50)) == 50
+
+
+def test_prefix_table(spark, small):
+    got = prefix_counts.prefix_table(table(spark, small, "documents").limit(5), BYTES).collect()
+    assert len(got) == 5 and all(x["counts"][0] == 0 for x in got)
+
+
+def test_files_of_ids(spark, small, texts):
+    library, start = Tokenizer.from_file(WORDS), 0
+    for x in QUERIES["op6_token_id_output"](spark, small).orderBy("doc_id").collect():
+        ids = [*library.encode(texts[x["doc_id"]], add_special_tokens=False).ids, 1]
+        assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+
+
+def test_code_lengths_are_optimal_and_limited():
+    r = np.random.default_rng(1)
+    for limit in (6, 16):
+        counts = np.floor(np.exp(r.normal(0, 3, 60))).astype(np.int64)
+        lengths = huffman.code_lengths(counts, limit)
+        used = lengths[counts > 0].astype(int)
+        assert used.max() <= limit and (2.0 ** -used).sum() <= 1 and not lengths[counts == 0].any()
+        if limit == 16:  # no limit in effect: as long as Huffman's own code
+            import heapq
+
+            heap, total = [int(c) for c in counts if c], 0
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                x = heapq.heappop(heap) + heapq.heappop(heap)
+                total += x
+                heapq.heappush(heap, x)
+            assert int((counts * lengths).sum()) == total
+        ids = r.choice(np.flatnonzero(counts), 5000)
+        code = huffman.Code(lengths)
+        payload, at = code.encode(ids)
+        assert (code.decode(payload, at, len(ids)) == ids).all()
+
+
+def test_packing(spark, small, texts):
+    library = Tokenizer.from_file(WORDS)
+    got = QUERIES["op5_sequence_packing"](spark, small).collect()
+    by, held = collections.defaultdict(list), collections.defaultdict(list)
+    for x in got:
+        by[x["doc_id"]].append(x)
+        held[x["sequence_id"]].append(x)
+    for doc, text in texts.items():
+        ids, at = np.array([*library.encode(text, add_special_tokens=False).ids, 2], dtype="<u4"), 0
+        for x in sorted(by[doc], key=lambda x: x["start"]):
+            assert x["start"] == at and x["doc_tokens"] == len(ids)
+            assert x["ids_crc32"] == zlib.crc32(ids[at : at + x["length"]].tobytes())
+            at += x["length"]
+        assert at == len(ids)
+    for parts in held.values():
+        at = 0
+        for x in sorted(parts, key=lambda x: x["offset"]):
+            assert x["offset"] == at
+            at += x["length"]
+        assert at <= 4096
+
+
+def test_window_cuts_cost_least():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        cuts = np.concatenate(([0], np.cumsum(r.integers(1, 9, 25))))
+        fee = r.integers(0, 6, len(cuts)).astype(float)
+        got = packing.window_cuts(cuts, fee, 12)
+        fee[-1] = 0
+        best = [0.0] + [np.inf] * (len(cuts) - 1)
+        for j in range(1, len(cuts)):
+            best[j] = min(best[i] + 12 - (cuts[j] - cuts[i]) + fee[j] for i in range(j) if cuts[j] - cuts[i] <= 12)
+        ends = [0, *got]
+        assert sum(12 - (cuts[b] - cuts[a]) + fee[b] for a, b in zip(ends, ends[1:])) == best[-1]
+
+
+def test_mixing(spark, small):
+    got = QUERIES["op4_source_mixing"](spark, small)
+    rows = got.toPandas()
+    again = QUERIES["op4_source_mixing"](spark, small).toPandas()
+    assert rows.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+    docs = table(spark, small, "documents").toPandas()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in zip(docs.doc_id, docs.text)}
+    assert dict(zip(rows["doc_id"], rows["size"])) == size
+    assert (rows.taken <= 2 * rows["size"]).all()
+    of = dict(zip(docs.doc_id, docs.source))
+    rows["source"] = rows.doc_id.map(of)
+    total = rows["size"].sum()
+    names = sorted(rows.source.unique())
+    cap, w = {s: 2.0 * rows["size"][rows.source == s].sum() for s in names}, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * total, set(names)
+    while True:  # share out, cap, share out the rest
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if level * w[s] > cap[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = cap[s]
+            left -= cap[s]
+        open_ -= over
+    target |= {s: level * w[s] for s in open_}
+    for s, part in rows.groupby("source"):
+        assert part.target.iloc[0] == pytest.approx(target[s])
+        assert part.taken.sum() == pytest.approx(target[s], abs=max(200, part["size"].max() / 4))
+
+
+def test_flight_keeps_totals():
+    r = np.random.default_rng(2)
+    pi, size = np.full(500, 0.37), r.integers(1, 3000, 500)
+    out = cube.flight(pi, size, r)
+    assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 2
+    assert out.sum() == pytest.approx(pi.sum()) and (out * size).sum() == pytest.approx((pi * size).sum())
+
+
+def test_quality_on_held_out_labels(spark):
+    at = "/root/testdata/sf0.1"
+    scored = QUERIES["op1_quality_classifier"](spark, at).toPandas().set_index("doc_id")
+    labels = table(spark, at, "labels").toPandas()
+    kept = scored.kept.loc[labels.doc_id].to_numpy()
+    good = labels.quality.to_numpy() == 1
+    assert (kept == good).mean() > 0.99 and kept[good].mean() > 0.995
+
+
+def test_expectation_maximisation_finds_bad_labellers():
+    r = np.random.default_rng(5)
+    truth = r.random(20000) < 0.8
+    votes = np.stack([np.where(truth, 2, np.where(r.random(20000) < p, 1, 2)) for p in (0.9, 0.8, 0.7, 0.6)], axis=1)
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, _, share = quality.expectation_maximisation(patterns, counts)
+    assert ((post[at.ravel()] > 0.5) == truth).mean() > 0.97 and abs(share - 0.8) < 0.05
+
+
+def naive_secrets(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in assign.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return [x[2] for x in sorted(out + [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])]
+
+
+def test_secrets(spark, small, texts):
+    got = {x["doc_id"]: x for x in QUERIES["op7_secret_scan"](spark, small).collect()}
+    for doc, text in texts.items():
+        assert got[doc]["base_sha256"] == hashlib.sha256(",".join(naive_secrets(text)).encode()).hexdigest()
+    odd = ["TOKEN : 'abcdef", "ſecret=abcdefgh", "token=secret:abcdef", "AKIA" + "A" * 15, "AKIA" + "A" * 16, "a" * 24, "g" + "0" * 23, "apikey=.-_=/+", "AKIAKIA" + "Z" * 17]
+    found = secret_net.find_all(pa.array(odd), secret_net.trained())
+    assert [[f"{k}:{s}:{e}" for s, e, k in x if k != "net"] for x in found] == list(map(naive_secrets, odd))
+
+
+def test_network_on_held_out_findings():
+    x, y = secret_net.examples(1500, 77)
+    net = secret_net.trained()
+    hit = net.score(x) >= net.threshold
+    assert hit[y == 1].mean() > 0.93 and hit[y == 0].mean() < 0.02
+    assert secret_net.cut_out("a KEY b", [(2, 5, "net"), (3, 4, "hex")]) == "a [SECRET] b"
+
+
+def test_licenses(spark, small, texts):
+    got = {x["doc_id"]: x for x in QUERIES["op9_license_scan"](spark, small).collect()}
+    for doc, text in texts.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+        places = [(label, i) for label, phrase in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        x, starts = got[doc], [i for _, i in places]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        assert x["base_labels"] == ",".join(sorted({label for label, _ in places}))
+        assert set(filter(None, x["base_labels"].split(","))) <= set(x["labels"].split(",")) and 0 <= x["score"] <= 1
+
+
+def naive_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(t))
+        out[i] = set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set()
+    return out
+
+
+def test_near_duplicates(spark, small, texts):
+    sets = naive_sets(texts)
+    low = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in links:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {x["doc_id"]: x for x in QUERIES["op10_minhash_near_dedup"](spark, small).collect()}
+    assert {i: (x["n_shingles"], x["component_id"], x["kept"]) for i, x in got.items()} == {i: (len(sets[i]), low[i], low[i] == i) for i in sets}
+
+
+def test_sketches_estimate_similarity():
+    r = np.random.default_rng(8)
+    one = np.unique(r.integers(0, 1 << 63, 1000, dtype=np.uint64))
+    for share in (0.95, 0.85):
+        k = int(1000 * 2 * share / (1 + share))
+        other = np.unique(np.concatenate((one[:k], r.integers(0, 1 << 63, 1000 - k, dtype=np.uint64))))
+        a, b = odd_sketch.odd_sketches(odd_sketch.minhashes([one, other]))
+        differing = int(np.bitwise_count(a ^ b).sum())
+        estimate = 1 + odd_sketch.BITS / (4 * odd_sketch.SAMPLES) * np.log(1 - 2 * differing / odd_sketch.BITS)
+        assert abs(estimate - share) < 0.1 and differing <= odd_sketch.most_differing(0.85)
+
+
+def test_blocks_find_links_across(spark):
+    sets = odd_sketch.shingle_sets(*buffers(pa.array(["a b c d e f g h i j", "a b c d e f g h i j k", "q w e r t y u i o p"])))
+    sketch = odd_sketch.odd_sketches(odd_sketch.minhashes(sets))
+    ids = np.array([4, 9, 11])
+    for block, apart, wanted in (([0, 0, 0], False, [(4, 9)]), ([0, 1, 0], True, [(4, 9)]), ([0, 0, 1], True, [])):
+        assert odd_sketch.block_links(ids, np.array(block), sketch, sets, apart, 85, 100, 512) == wanted
+
+
+def test_top_k(spark, small):
+    e = table(spark, small, "embeddings").toPandas()
+    x, ids = np.floor(1024 * np.stack(e.embedding).astype(float)).astype(np.int64), e.vec_id.to_numpy()
+    wanted = set()
+    for q in np.flatnonzero(ids % 100 == 0):
+        score = x @ x[q]
+        order = [i for i in np.lexsort((ids, -score)) if i != q][:10]
+        wanted |= {(int(ids[q]), n, int(ids[i]), int(score[i])) for n, i in enumerate(order, 1)}
+    assert {tuple(r) for r in QUERIES["op2_exact_top_k"](spark, small).select("query_id", "rank", "vec_id", "score").collect()} == wanted
+
+
+def test_graph_recall():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 32))
+    x[2000:] = x[r.integers(0, 400, 2000)] + r.normal(scale=0.1, size=(2000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = hnsw.Graph(x)
+    graph = hnsw.Graph.load(x, graph.dump())
+    a, b = hnsw.within(graph, x[:1500], 0.9)
+    truth = x[:1500] @ x.T >= 0.9
+    assert truth[a, b].all() and len(a) >= 0.99 * truth.sum()
+
+
+def test_pipeline_against_plain_stages(spark, small, texts):
+    """The stages' decisions are those of the operators, and the packed ids those of a plain run."""
+    docs = table(spark, small, "documents")
+    kept = {x["doc_id"] for x in quality.score(docs).filter("kept").collect()}
+    one = corpus_pipeline.quality_stage(spark, docs, small).cache()
+    assert {x["doc_id"] for x in one.collect()} == kept
+    sets = naive_sets({i: t for i, t in texts.items() if i in kept})
+    two = corpus_pipeline.near_dedup_stage(spark, one, small).cache()
+    left = sorted(x["doc_id"] for x in two.collect())
+    assert all(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a in left for b in left if a < b)
+    three = corpus_pipeline.secret_stage(spark, two, small).cache()
+    rows = three.collect()
+    assert len(rows) == len(left) and not any(naive_secrets(x["text"]) for x in rows) and all(x["n_chars"] == len(x["text"]) for x in rows)
+    four = corpus_pipeline.mixing_stage(spark, three, small).cache()
+    decided = {x["doc_id"]: x["copies"] for x in cube.mix(three).collect()}
+    assert collections.Counter(x["doc_id"] for x in four.collect()) == collections.Counter({i: n for i, n in decided.items() if n})
+    library, per_copy = Tokenizer.from_file(WORDS), {x["doc_id"]: x["text"] for x in rows}
+    got = collections.Counter()
+    for x in corpus_pipeline.run(spark, small).collect():
+        got[x["doc_id"]] += x["length"]
+    assert got == {i: n * (len(library.encode(per_copy[i], add_special_tokens=False).ids) + 1) for i, n in decided.items() if n}
