@@ -25,7 +25,7 @@ from cairn.llm.common import materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
-BLOCK = 20_000
+BLOCK = 5_000
 EDGE = 1e-9
 #: Settled rows of a source's first block that may be turned over at the end, and how many are.
 BALLAST, TURNS = 200, 4
