@@ -28,7 +28,7 @@ def with_blobs(files: DataFrame, order: str = "file_id") -> DataFrame:
 
 def directories(files: DataFrame, root: str = "") -> DataFrame:
     """(path, name, parent_path, depth) of the root and every directory above a file."""
-    above = files.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+    above = files.select(F.explode(ancestors(F.col("path"))).alias("path")).filter("path <> ''").distinct()
     made = above.select("path", file_name(F.col("path")).alias("name"), parent(F.col("path")).alias("parent_path"), F.size(F.split("path", "/")).alias("depth"))
     top = files.sparkSession.createDataFrame([("", root, None, 0)], "path string, name string, parent_path string, depth int")
     return top.unionByName(made)
@@ -48,7 +48,7 @@ def subtree(dirs: DataFrame, path: str) -> DataFrame:
 
 def subtree_totals(files: DataFrame) -> DataFrame:
     """(path, n_files, n_bytes) of every directory, all levels below it counted."""
-    every = files.select(F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("path")))).alias("path"), "size")
+    every = files.select(F.explode(F.array_union(F.array(F.lit("")), ancestors(F.col("path")))).alias("path"), "size")
     return every.groupBy("path").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"))
 
 
