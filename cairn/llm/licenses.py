@@ -39,6 +39,8 @@ TEMPLATES = [
     ("reserved", "copyright all rights reserved", "all rights reserved"),
 ]
 LOOKED_UP = 8
+#: More words than any notice has: a proposal begins less than that before the text.
+LONGEST = 1 << 10
 
 
 class Notice:
@@ -89,8 +91,10 @@ def scan(docs: DataFrame) -> DataFrame:
     postings = F.array(*[F.struct(F.lit(x.number).alias("notice"), F.lit(w).alias("word"), F.lit(i).alias("at")) for x in every for i, w in enumerate(x.words)])
     hit = made.filter("words is not null").withColumn("chosen", chosen)
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("chosen", F.get("words", i)))
-    proposed = F.flatten(F.transform(places, lambda i: F.transform(F.filter(postings, lambda p: p["word"] == F.get("words", i)), lambda p: F.struct(p["notice"].alias("notice"), (i - p["at"]).alias("start")))))
-    hit = hit.withColumn("proposed", F.array_distinct(proposed))
+    # one number a proposal: of numbers the distinct ones are found by hash, of structs pair by pair
+    coded = F.flatten(F.transform(places, lambda i: F.transform(F.filter(postings, lambda p: p["word"] == F.get("words", i)), lambda p: F.shiftleft(p["notice"].cast("long"), 40) + (i - p["at"] + LONGEST).cast("long"))))
+    proposed = F.transform(F.array_distinct(coded), lambda x: F.struct(F.shiftright(x, 40).cast("int").alias("notice"), (x.bitwiseAND((1 << 40) - 1) - LONGEST).cast("int").alias("start")))
+    hit = hit.withColumn("proposed", proposed)
     content = F.array(*[strings(x.words) for x in every])
     keys = F.array(*[F.struct(F.lit(x.key_at).alias("at"), strings(x.key).alias("words")) for x in every])
 
