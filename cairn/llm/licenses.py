@@ -90,7 +90,9 @@ def scan(docs: DataFrame) -> DataFrame:
     chosen = F.array_union(F.transform(rarest, lambda x: x["word"]), F.array_intersect("present", strings(anchors)))
     postings = F.array(*[F.struct(F.lit(x.number).alias("notice"), F.lit(w).alias("word"), F.lit(i).alias("at")) for x in every for i, w in enumerate(x.words)])
     hit = made.filter("words is not null").withColumn("chosen", chosen)
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("chosen", F.get("words", i)))
+    # chosen is bound by a lambda of its own: in the inner one the optimizer would work it out for every word
+    at = F.sequence(F.lit(0), F.size("words") - 1)
+    places = F.flatten(F.transform(F.array("chosen"), lambda c: F.filter(at, lambda i: F.array_contains(c, F.get("words", i)))))
     # one number a proposal: of numbers the distinct ones are found by hash, of structs pair by pair
     coded = F.flatten(F.transform(places, lambda i: F.transform(F.filter(postings, lambda p: p["word"] == F.get("words", i)), lambda p: F.shiftleft(p["notice"].cast("long"), 40) + (i - p["at"] + LONGEST).cast("long"))))
     proposed = F.transform(F.array_distinct(coded), lambda x: F.struct(F.shiftright(x, 40).cast("int").alias("notice"), (x.bitwiseAND((1 << 40) - 1) - LONGEST).cast("int").alias("start")))
