@@ -10,7 +10,7 @@ ones (ballast).
 
 Draws are seeded from the block, and documents are in order there, so reruns agree.
 Cases: null text has size 0; a null source is a source, last in order; null doc_ids come
-first in a block; repeated rows are rows of their own; extra columns are not read; an empty
+first in a block, and are dealt to blocks by their texts; repeated rows are rows of their own; extra columns are not read; an empty
 table gives no rows; a source of size 0 has target 0 and takes nothing.
 """
 
@@ -142,7 +142,7 @@ def _fly(last: bool):
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row; taken is size times the copies it gets."""
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("size"), "source"), "sizes")
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("size"), "source", F.xxhash64("doc_id", "text").alias("spread")), "sizes")
     return _decide(sized)
 
 
@@ -157,7 +157,7 @@ def _decide(sized: DataFrame) -> DataFrame:
         known = F.broadcast(known)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ready = sized.join(known, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    ready = ready.select("doc_id", "size", "source_no", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int").alias("block"))
+    ready = ready.select("doc_id", "size", "source_no", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"), F.pmod(F.xxhash64("spread", F.lit(3)), F.col("blocks")).cast("int").alias("block"))
     flown = materialize(ready.groupBy("source_no", "block").applyInArrow(_fly(False), _OUT), "flight")
     settled, open_ = [], (F.col("pi") > EDGE) & (F.col("pi") < 1 - EDGE)
     left, ballast = flown.filter(open_), flown.filter(~open_ & F.col("ballast"))
@@ -166,7 +166,7 @@ def _decide(sized: DataFrame) -> DataFrame:
         most = left.groupBy("source_no").count().agg(F.max("count")).first()[0] or 0
         if most <= BLOCK:
             break
-        deal = F.pmod(F.xxhash64("doc_id", F.lit(5 + len(settled))), F.lit(-(-most // BLOCK) * 2)).cast("int")
+        deal = F.pmod(F.xxhash64("doc_id", "size", F.lit(5 + len(settled))), F.lit(-(-most // BLOCK) * 2)).cast("int")
         flown = materialize(left.withColumn("block", deal + 1).groupBy("source_no", "block").applyInArrow(_fly(False), _OUT), "flight")
         settled.append(flown.filter(~open_))
         left = flown.filter(open_)
