@@ -209,6 +209,14 @@ def test_licenses(spark, small, texts):
         assert set(filter(None, x["base_labels"].split(","))) <= set(x["labels"].split(",")) and 0 <= x["score"] <= 1
 
 
+def test_licenses_in_a_long_text_of_common_words(spark):
+    r = np.random.default_rng(6)
+    words = r.choice(["the", "of", "to", "and", "by", "cc", "general", "public", "license", "x1"], 60_000).tolist()
+    got = licenses.scan(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    starts = [i for _, phrase in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    assert (got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (len(starts), min(starts), max(starts), "cc-by,gpl")
+
+
 def naive_sets(texts):
     out = {}
     for i, t in texts.items():
@@ -271,6 +279,16 @@ def test_graph_recall():
     assert truth[a, b].all() and len(a) >= 0.99 * truth.sum()
 
 
+def test_mixing_of_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(cube, "BLOCK", 50)
+    rows = [(None, " ".join(["w"] * (1 + i * 7 % 90)), s) for s in ("a", "b") for i in range(400)]
+    got = cube.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert len(got) == len(rows) and sorted(x["size"] for x in got) == sorted(len(t.split()) for _, t, _ in rows)
+    for source, target in {(x["source_no"], x["target"]) for x in got}:
+        assert abs(sum(x["taken"] for x in got if x["source_no"] == source) - target) <= 90
+    assert all(x["taken"] <= 2 * x["size"] for x in got)
+
+
 def test_pipeline_against_plain_stages(spark, small, texts):
     """The stages' decisions are those of the operators, and the packed ids those of a plain run."""
     docs = table(spark, small, "documents")
