@@ -1,9 +1,10 @@
 r"""License scans with a positional rare-token index, in DataFrame functions only.
 
 Every text becomes its words and the licence words among them; how many documents hold
-each licence word gives its IDF.  A text is looked up by its LOOKED_UP licence words of the
-highest IDF, and the rarest word of each base phrase it holds: a place of such a word and
-its place in a template propose where the template would begin.  A proposal stands if the
+each licence word gives its IDF.  A text is looked up by the rarest word of every key phrase
+it holds, base or template, so that nothing that could stand goes unproposed, and by its
+LOOKED_UP licence words of the highest IDF besides: a place of such a word and its place in
+a template propose where the template would begin.  A proposal stands if the
 template's mandatory key phrase is there, word for word; its score is the share of the
 template's words at their places.
 
@@ -84,7 +85,7 @@ def scan(docs: DataFrame) -> DataFrame:
     seen = {r["word"]: r["n"] for r in made.select(F.explode("present").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per licence word at most
     idf = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) for w in vocabulary()}
     every = notices()
-    anchors = sorted({max(x.key, key=lambda w: (idf[w], w)) for x in every if x.base})
+    anchors = sorted({max(x.key, key=lambda w: (idf[w], w)) for x in every})
     rank = F.create_map(*[v for w in idf for v in (F.lit(w), F.lit(-idf[w]))])
     rarest = F.slice(F.array_sort(F.transform("present", lambda w: F.struct(rank[w].alias("by"), w.alias("word")))), 1, LOOKED_UP)
     chosen = F.array_union(F.transform(rarest, lambda x: x["word"]), F.array_intersect("present", strings(anchors)))

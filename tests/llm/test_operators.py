@@ -217,6 +217,16 @@ def test_licenses_in_a_long_text_of_common_words(spark):
     assert (got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (len(starts), min(starts), max(starts), "cc-by,gpl")
 
 
+def test_licenses_of_a_text_with_many_notices(spark):
+    every = licenses.notices()
+    rare = " ".join(text for label, text, _ in licenses.TEMPLATES if label in ("bsd", "isc") or text.startswith("permission"))
+    rows = [(0, rare + " released under the mit license or the apache license"), (1, " ".join(" ".join(x.words) for x in every))]
+    rows += [(2 + i, w) for i, w in enumerate(w for w in "mit apache license released under the or".split() for _ in range(20))]
+    got = {x["doc_id"]: x["labels"] for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows:
+        assert got[doc] == ",".join(sorted({x.label for x in every if f" {' '.join(x.key)} " in f" {text} "}))
+
+
 def naive_sets(texts):
     out = {}
     for i, t in texts.items():
