@@ -5,8 +5,10 @@ points search the graph that stands, meet each other directly, and link to a div
 choice of what was found.  Every vector then queries every shard in lock-step beam
 searches over blocks of queries.  A query whose beam holds little else than links
 searches again with a wider one, and at WIDEST the shard is compared outright.  In
-each block a sample of queries is audited against brute force; the beam widens until
-the audit finds TARGET of the links.  Found pairs are verified by cosine in double
+each block queries are drawn and audited against brute force until they show SEEN links
+to vectors other than themselves; the beam widens until the audit finds TARGET of the
+links.  Where half the block shows fewer, links are too rare to audit a search by, and
+the block is compared with the shard outright.  Found pairs are verified by cosine in double
 precision; every block returns each vector's number of links and a forest of them, and
 the forests are united to components.
 
@@ -35,7 +37,8 @@ SHARD, SHARDS, QUERIES, LANE = 50_000, 4, 4096, 8
 NEIGHBOURS, BEAM, WIDEST = 12, 32, 128
 #: Points that join a graph together at most.
 GROWTH = 512
-AUDIT, TARGET = 24, 0.99
+#: Queries first audited, links to other vectors that an audit must see, share of them to be found.
+AUDIT, SEEN, TARGET = 24, 200, 0.99
 LEVEL = 24
 CHUNK = 1 << 16
 
@@ -193,28 +196,53 @@ class Graph:
         return ids, score
 
 
-def within(graph: Graph, q: np.ndarray, bar: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) whose float32 cosine reaches bar, as far as the searches find them; the beam widens until an audit passes."""
+def within(graph: Graph, q: np.ndarray, bar: float, seed: int = 0, qid: np.ndarray | None = None, xid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) whose float32 cosine reaches bar, as far as the searches find them; the beam widens until an audit passes.
+
+    The ids of queries and vectors, if given, keep a query's match with itself out of the audit.
+    """
     if not len(graph.x) or not len(q):
         return np.zeros(0, int), np.zeros(0, int)
-    audit = np.random.default_rng(seed).choice(len(q), min(AUDIT, len(q)), replace=False)
-    truth = q[audit] @ graph.x.T >= bar
-    beam = BEAM
-    while True:
-        if beam >= min(WIDEST, len(graph.x)):
-            return _outright(graph, q, bar)
+    order, drawn, links = np.random.default_rng(seed).permutation(len(q)), 0, np.zeros(len(q), dtype=np.int64)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def real(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Links of each query to others."""
+        return np.bincount(a if qid is None or xid is None else a[qid[a] != xid[b]], minlength=len(q))
+
+    def draw(many: int) -> None:
+        nonlocal drawn, links
+        now = order[drawn : drawn + many]
+        a, b = _outright(graph, q[now], bar)
+        pairs.append((now[a], b))
+        links = links + real(now[a], b)
+        drawn += len(now)
+
+    beam, passed, full = BEAM, False, np.zeros(len(q), dtype=bool)
+    while not passed and beam < min(WIDEST, len(graph.x)):
+        while links.sum() < SEEN and 2 * drawn < len(q):
+            draw(max(AUDIT, drawn))
+        if links.sum() < SEEN:
+            break
         ids, score = graph.search(q, beam)
         hit = score >= bar
-        found = sum(int(truth[i][ids[a][hit[a]]].sum()) for i, a in enumerate(audit))
         full = hit.sum(axis=1) * 2 > beam
-        wanted = int(truth[~full[audit]].sum())
-        found = sum(int(truth[i][ids[a][hit[a]]].sum()) for i, a in enumerate(audit) if not full[a])
-        if found >= TARGET * wanted:
+        while links[~full].sum() < SEEN and 2 * drawn < len(q):
+            draw(max(AUDIT, drawn))
+        wanted = links[~full].sum()
+        if wanted < SEEN:
             break
-        beam *= 2
-    a, b = np.nonzero(hit & ~full[:, None])
-    pairs = [(a, ids[a, b].astype(np.int64))]
-    rest = np.flatnonzero(full)
+        left = np.ones(len(q), dtype=bool)
+        left[order[:drawn]] = False
+        a, b = np.nonzero(hit & ~full[:, None] & ~left[:, None])
+        passed = real(a, ids[a, b]).sum() >= TARGET * wanted
+        beam *= 1 if passed else 2
+    if not passed:
+        draw(len(q))
+        return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    a, b = np.nonzero(hit & ~full[:, None] & left[:, None])
+    pairs.append((a, ids[a, b].astype(np.int64)))
+    rest = np.flatnonzero(full & left)
     while len(rest):
         beam *= 4
         if beam >= min(WIDEST, len(graph.x)):
@@ -231,7 +259,7 @@ def within(graph: Graph, q: np.ndarray, bar: float, seed: int = 0) -> tuple[np.n
 
 
 def _outright(graph: Graph, q: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray]:
-    found = []
+    found = [(np.zeros(0, int), np.zeros(0, int))]
     for at in range(0, len(q), 512):
         a, b = np.nonzero(q[at : at + 512] @ graph.x.T >= bar)
         found.append((a + at, b))
@@ -281,7 +309,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int | None
             graph = Graph.load(x.astype(np.float32), right.column("graph")[0].as_py())
             for i in range(left.num_rows):
                 qid, q = _matrix(left.column("query_ids"), left.column("query_flat"), i, key[0].as_py())
-                a, b = within(graph, q.astype(np.float32), threshold - 1e-5)
+                a, b = within(graph, q.astype(np.float32), threshold - 1e-5, qid=qid, xid=xid)
                 linked = np.concatenate([np.einsum("nd,nd->n", q[a[c : c + CHUNK]], x[b[c : c + CHUNK]]) >= threshold for c in range(0, max(1, len(a)), CHUNK)])
                 linked &= qid[a] != xid[b]
                 a, b = a[linked], b[linked]

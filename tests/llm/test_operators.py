@@ -289,6 +289,36 @@ def test_graph_recall():
     assert truth[a, b].all() and len(a) >= 0.99 * truth.sum()
 
 
+def test_audit_of_rare_links_sees_a_blind_search():
+    r = np.random.default_rng(8)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in r.normal(size=(2, 2000, 32)).astype(np.float32))
+    q[:5] = x[:5]
+    graph = hnsw.Graph(x)
+    graph.search = lambda q, beam, stop=0: (np.full((len(q), beam), -1, dtype=np.int32), np.full((len(q), beam), -np.inf, dtype=np.float32))
+    assert sorted(zip(*hnsw.within(graph, q, 0.9))) == [(i, i) for i in range(5)]
+    x[1000:1005] = x[:5]
+
+    def only_itself(q, beam, stop=0):
+        ids = np.concatenate([np.arange(len(q), dtype=np.int32)[:, None], np.full((len(q), beam - 1), -1, dtype=np.int32)], axis=1)
+        return ids, np.where(ids >= 0, 1, -np.inf)
+
+    graph.search = only_itself
+    a, b = hnsw.within(graph, x, 0.9, qid=np.arange(2000), xid=np.arange(2000))
+    assert sorted(zip(a[a != b], b[a != b])) == [(i, i + 1000) for i in range(5)] + [(i + 1000, i) for i in range(5)]
+
+
+def test_rare_links_are_all_found(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(12_000, 48))
+    x[:60] = x[6000:6060] + r.normal(scale=0.45, size=(60, 48))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert 40 <= truth.sum() <= 200
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {x["vec_id"]: x["n_links"] for x in hnsw.near_vectors(rows).collect()}
+    assert [got[i] for i in range(len(x))] == truth.tolist()
+
+
 def test_mixing_of_rows_without_ids(spark, monkeypatch):
     monkeypatch.setattr(cube, "BLOCK", 50)
     rows = [(None, " ".join(["w"] * (1 + i * 7 % 90)), s) for s in ("a", "b") for i in range(400)]
