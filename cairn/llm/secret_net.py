@@ -2,7 +2,7 @@
 
 Candidates are the rules' findings and every other unbroken run of 16 or more key
 characters that has both a letter and a digit.  The network reads each with its
-surrounding text.  It is trained here, in numpy, on labelled findings drawn from
+surrounding text; over a long one its window slides, and the highest score counts.  It is trained here, in numpy, on labelled findings drawn from
 seeded templates; its scores are calibrated on a part held out, and its threshold is
 the highest that keeps RECALL of the secrets held out.  Findings of the rules stay
 whatever it says; it adds spans of kind net.
@@ -35,6 +35,8 @@ HINTS = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "
 
 BEFORE, INSIDE, AFTER = 20, 40, 8
 WIDTH, FILTERS, TAPS = BEFORE + INSIDE + AFTER, 16, 5
+#: Steps by which the window goes over a candidate longer than INSIDE, windows scored at a time.
+SLIDE, SCORED = 4, 2048
 CLASSES = 24
 RECALL = 0.97
 TRAINED_ON = 3000
@@ -75,16 +77,25 @@ def other_candidates(text: str, found: list[tuple[int, int, str]]) -> list[tuple
     return out
 
 
-def window(text: str, s: int, e: int) -> np.ndarray:
-    """Classes of the characters around and in a candidate, each part at its own place."""
+def window(text: str, s: int, e: int, at: int | None = None) -> np.ndarray:
+    """Classes of the characters around and in a candidate (of a long one INSIDE from at, its start if not given), each part at its own place."""
+    a = s if at is None else at
     out = np.zeros(WIDTH, dtype=np.int64)
-    for part, at in ((text[max(0, s - BEFORE) : s], None), (text[s : min(e, s + INSIDE)], BEFORE), (text[e : e + AFTER], BEFORE + INSIDE)):
+    for part, at in ((text[max(0, s - BEFORE) : s], None), (text[a : min(e, a + INSIDE)], BEFORE), (text[e : e + AFTER], BEFORE + INSIDE)):
         codes = np.fromiter((TABLE[ord(c)] if ord(c) < 256 else CLASSES - 1 for c in part), dtype=np.int64, count=len(part))
         at = BEFORE - len(part) if at is None else at
         out[at : at + len(part)] = codes
     return out
 
 
+def windows(text: str, s: int, e: int) -> Iterator[np.ndarray]:
+    """Windows that together read the whole candidate; the last ends with it."""
+    for at in range(s, max(s + 1, e - INSIDE), SLIDE):
+        yield window(text, s, e, at)
+    if e - s > INSIDE:
+        yield window(text, s, e, e - INSIDE)
+
+
 def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Labelled findings: secrets and harmless runs in invented contexts."""
     r = np.random.default_rng(seed)
@@ -186,20 +197,28 @@ def find_all(texts: pa.Array, net: Network) -> list[list[tuple[int, int, str]]]:
     """All spans of each text, by start and then by kind."""
     hints = {k: pc.match_substring_regex(texts, pattern=p).to_numpy(zero_copy_only=False) for k, p in HINTS.items()}
     out: list[list[tuple[int, int, str]]] = [[] for _ in range(len(texts))]
-    windows, places = [], []
+    rows, places, hit = [], [], set()
+
+    def judge() -> None:
+        hit.update(p for p, score in zip(places, net.score(np.array(rows))) if score >= net.threshold)
+        rows.clear()
+        places.clear()
+
     for i in np.flatnonzero(np.any(list(hints.values()), axis=0)).tolist():
         text = texts[i].as_py()
         out[i] = base_findings(text, {k for k in KINDS if hints[k][i]})
         if hints["net"][i]:
             for s, e in other_candidates(text, out[i]):
-                windows.append(window(text, s, e))
-                places.append((i, s, e))
-    if places:
-        for (i, s, e), score in zip(places, net.score(np.array(windows))):
-            if score >= net.threshold:
-                out[i].append((s, e, "net"))
-        for i in {p[0] for p in places}:
-            out[i].sort(key=lambda x: (x[0], KINDS.index(x[2])))
+                for x in windows(text, s, e):
+                    rows.append(x)
+                    places.append((i, s, e))
+                    if len(rows) == SCORED:
+                        judge()
+    judge()
+    for i, s, e in hit:
+        out[i].append((s, e, "net"))
+    for i in {p[0] for p in hit}:
+        out[i].sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return out
 
 

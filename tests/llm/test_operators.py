@@ -198,6 +198,16 @@ def test_network_on_held_out_findings():
     assert secret_net.cut_out("a KEY b", [(2, 5, "net"), (3, 4, "hex")]) == "a [SECRET] b"
 
 
+def test_network_reads_long_runs_to_their_end():
+    r, net = np.random.default_rng(3), secret_net.trained()
+    token = "ghp_" + "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 36))
+    path = "repos/acme/builds/artifacts/release/2024/"
+    texts = ["see the notes at " + path + x + " there" for x in (token, token + "/the/list/of/the/other/pages/2024.html", "the/list/of/the/other/pages/2024.html")]
+    found = secret_net.find_all(pa.array(texts), net)
+    assert [[x[2] for x in f] for f in found] == [["net"], ["net"], []]
+    assert all(token not in secret_net.cut_out(t, f) for t, f in zip(texts, found))
+
+
 def test_licenses(spark, small, texts):
     got = {x["doc_id"]: x for x in QUERIES["op9_license_scan"](spark, small).collect()}
     for doc, text in texts.items():
