@@ -1,11 +1,12 @@
 """Secret scans: three rules, and a character convolutional network for what they miss.
 
-Candidates are the rules' findings and every other unbroken run of 16 or more key
-characters that has both a letter and a digit.  The network reads each with its
+Candidates are the rules' findings and, of every unbroken run of 16 or more key
+characters that has both a letter and a digit, what the findings leave of it in pieces
+of 16 or more.  The network reads each with its
 surrounding text; over a long one its window slides, and the highest score counts.  It is trained here, in numpy, on labelled findings drawn from
 seeded templates; its scores are calibrated on a part held out, and its threshold is
 the highest that keeps RECALL of the secrets held out.  Findings of the rules stay
-whatever it says; it adds spans of kind net.
+whatever it says; it adds spans of kind net, also for findings that it takes for secrets.
 
 Cases: null or empty text: no spans (sha256 of the empty string).  Null doc_ids and
 repeated rows are kept; extra columns are not read; an empty table gives no rows.
@@ -67,13 +68,22 @@ def base_findings(text: str, hints: set[str]) -> list[tuple[int, int, str]]:
 
 
 def other_candidates(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs with a letter and a digit that no base finding overlaps."""
-    out = []
+    """Runs with a letter and a digit, less the base findings (by start) in them: what remains in pieces of 16 or more."""
+    out, first = [], 0
     for m in OTHER.finditer(text):
         run = m[0].rstrip(".")
-        s, e = m.start(), m.start() + len(run)
-        if len(run) >= 16 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < e and s < b for a, b, _ in found):
-            out.append((s, e))
+        at, end = m.start(), m.start() + len(run)
+        if len(run) >= 16 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+            while first < len(found) and found[first][1] <= at:
+                first += 1
+            k = first
+            while k < len(found) and found[k][0] < end:
+                if found[k][0] - at >= 16:
+                    out.append((at, found[k][0]))
+                at = max(at, found[k][1])
+                k += 1
+            if end - at >= 16:
+                out.append((at, end))
     return out
 
 
@@ -207,13 +217,13 @@ def find_all(texts: pa.Array, net: Network) -> list[list[tuple[int, int, str]]]:
     for i in np.flatnonzero(np.any(list(hints.values()), axis=0)).tolist():
         text = texts[i].as_py()
         out[i] = base_findings(text, {k for k in KINDS if hints[k][i]})
-        if hints["net"][i]:
-            for s, e in other_candidates(text, out[i]):
-                for x in windows(text, s, e):
-                    rows.append(x)
-                    places.append((i, s, e))
-                    if len(rows) == SCORED:
-                        judge()
+        others = other_candidates(text, out[i]) if hints["net"][i] else []
+        for s, e in [x[:2] for x in out[i]] + others:
+            for x in windows(text, s, e):
+                rows.append(x)
+                places.append((i, s, e))
+                if len(rows) == SCORED:
+                    judge()
     judge()
     for i, s, e in hit:
         out[i].append((s, e, "net"))
