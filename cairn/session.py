@@ -40,13 +40,38 @@ def local(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") ->
     )
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one where that is unset) and read back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir; where that is unset, a temporary one, but in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/cairn/{what}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/cairn/{spark.sparkContext.applicationId}"
+
+
+def settle(df: DataFrame, what: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a settled table that nothing will read any more."""
+    _delete(df.sparkSession, df.settled_at)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has settled; for when its results have been read or written elsewhere."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        _delete(spark, shared_dir(spark))
