@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.session import discard, shared_dir  # noqa: F401
+from cairn.session import settle as materialize  # noqa: F401
+
 U64 = np.uint64
 #: ASCII white space of the word rule [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, dtype=bool)
@@ -19,36 +21,52 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = U64(0x9E3779B97F4A7C15)
-BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Bytes hashed at a time; bounds the temporary arrays.
-WINDOW = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+#: Words hashed at a time, which bounds the temporary arrays; bytes up to which a word is hashed by lanes of eight.
+WINDOW, LANES = 1 << 17, 64
+#: Keys that may count as heavy at most in a skewed join; rows up to which all its keys are broadcast.
+HEAVY, SMALL = 50_000, 300_000
+#: Copies of one row that one task makes.
+CHUNK = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local temporary one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def small_or_shuffled(df: DataFrame, rows: int, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
+    """df with a broadcast hint if rows * row_bytes is within limit, else as it is (a shuffled join)."""
+    return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def skew_join(rows: DataFrame, keyed: DataFrame, key: list[str], weight: str, n: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed (one row a key, weight: how many of the n rows have it) on key, whatever the skew.
 
+    Keys of more than n / HEAVY rows, of which there are HEAVY at most, are broadcast; the others are
+    shuffled, and none of them fills a task.  Up to SMALL rows all keys are broadcast.  weight does not come along.
+    """
+    known = keyed.drop(weight)
+    if n <= SMALL:
+        return rows.join(F.broadcast(known), key, how)
+    bar = max(1000, n // HEAVY)
+    heavy = keyed.filter(F.col(weight) > bar).drop(weight)
+    if heavy.isEmpty():
+        return rows.join(known, key, how)
+    light = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(keyed.filter(F.col(weight) <= bar).drop(weight), key, how)
+    return light.unionByName(rows.join(F.broadcast(heavy), key).select(*light.columns))
+
+
+def row_keys(*names: str) -> tuple[Column, Column]:
+    """128 bits that tell rows by these columns (doc_id and text if none are named)."""
+    parts = [x for n in names or ("doc_id", "text") for x in (F.col(n).isNull(), F.col(n))]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts[::-1])
 
-def small_or_shuffled(df: DataFrame, rows: int, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
-    """df with a broadcast hint if rows * row_bytes is within limit, else as it is (a shuffled join)."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+
+def repeated(df: DataFrame, times: str, number: str) -> DataFrame:
+    """Every row as often as times says, numbered from 0; the copies of a row of many are dealt over tasks."""
+    few = df.filter(F.col(times).between(1, CHUNK)).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    many = df.filter(F.col(times) > CHUNK).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(CHUNK).cast("long"))))
+    many = many.repartition(number).withColumn(number, F.explode(F.sequence(F.col(number), F.least(F.col(number) + CHUNK, F.col(times)) - 1)))
+    return few.unionByName(many)
 
 
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -86,16 +104,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, WINDOW + 65536)
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of each text, and the index of each text's first word (with a last end)."""
     solid = ~SPACE[data]
@@ -112,21 +120,28 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word with A-Z lower-cased, and the index of each text's first word (with a last end).
 
-    The hash is polynomial modulo 2**64 by prefix sums, then mixed; it depends on the word alone.
+    Lanes of eight bytes go one by one through a mixing function that is one to one, so that words of up to
+    eight bytes and equal length never collide; words beyond LANES bytes are hashed by BLAKE2.
     """
     start, end, of = word_spans(data, off)
+    length = end - start
     out = np.empty(len(start), dtype=np.uint64)
-    at = 0
-    while at < len(start):
-        low = start[at]
-        to = max(at + 1, int(np.searchsorted(end, low + WINDOW, side="right")))
-        part = LOWER[data[low : end[to - 1]]]
-        up, down = powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum((part.astype(np.uint64) + U64(1)) * up[:-1], out=total[1:])
-        s, e = start[at:to] - low, end[at:to] - low
-        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-        at = to
+    low = np.concatenate((LOWER[data], np.zeros(8, dtype=np.uint8)))
+    eight = np.arange(8)
+    for at in range(0, len(start), WINDOW):
+        s, n = start[at : at + WINDOW], length[at : at + WINDOW]
+        h = mix(n.astype(np.uint64) + BASE)
+        live = np.flatnonzero(n <= LANES)
+        for k in range(0, LANES, 8):
+            live = live[n[live] > k]
+            if not len(live):
+                break
+            lane = low[(s[live] + k)[:, None] + eight].view("<u8")[:, 0]
+            over = np.maximum(8 - (n[live] - k), 0).astype(np.uint64) * U64(8)
+            h[live] = mix(h[live] * BASE + (lane << over >> over))
+        for i in np.flatnonzero(n > LANES):
+            h[i] = int.from_bytes(hashlib.blake2b(low[s[i] : s[i] + n[i]].tobytes(), digest_size=8).digest(), "little")
+        out[at : at + WINDOW] = h
     return out, of
 
 

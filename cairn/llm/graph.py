@@ -2,39 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import SMALL, discard, materialize, skew_join
 
 
-def _largest(edges: DataFrame) -> DataFrame:
+def _lowest(edges: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with m, the smallest v of u; hubs, whose edges would fill a task, are split."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    return skew_join(edges, low, ["u"], "degree", n)
+
+
+def _largest(edges: DataFrame, n: int) -> DataFrame:
     """Every neighbour above u gets the smallest of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return _lowest(both, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
+def _smallest(edges: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of u, and u, get the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    down = _lowest(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n)
+    return down.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m")).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str, name: str = "component", rounds: int = 60) -> DataFrame:
     """(node, name) for every node of at least one edge; name is the smallest node of its component.
 
-    The edges of a round never outnumber those of the last one; each round is written to the shared folder.
-    Edges with a null end and loops are left out.
+    The edges of a round never outnumber those of the last one; each round is written to the shared folder
+    and the one before it deleted.  Edges with a null end and loops are left out.
     """
-    now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct()
-    now, before = materialize(now, "edges"), None
+
+    def settled(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+        seen = Observation()
+        out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)), F.lit(0)).alias("hash")), "edges")
+        return out, (seen.get["n"], seen.get["hash"])
+
+    now, state = settled(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct())
+    before = None
     for _ in range(rounds):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias(name)).union(now.select("v", "v")).distinct()
-        before = state
-        now = materialize(_smallest(_largest(now)), "edges")
+        before, last = state, now
+        wide = _largest(last, state[0])
+        wide = wide if state[0] <= SMALL else materialize(wide, "edges")
+        now, state = settled(_smallest(wide, state[0]))
+        for done in (last, wide):
+            if hasattr(done, "settled_at"):
+                discard(done)
     raise RuntimeError("components did not settle")
