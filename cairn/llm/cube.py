@@ -10,8 +10,9 @@ ones (ballast).
 
 Draws are seeded from the block, and documents are in order there, so reruns agree.
 Cases: null text has size 0; a null source is a source, last in order; null doc_ids come
-first in a block, and are dealt to blocks by their texts; repeated rows are rows of their own; extra columns are not read; an empty
-table gives no rows; a source of size 0 has target 0 and takes nothing.
+first in a block; rows that are equal in id, text and source are rows of their own, counted
+together and dealt over the blocks by number; extra columns are not read; an empty table
+gives no rows; a source of size 0 has target 0 and takes nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, repeated, row_keys
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -116,12 +117,13 @@ def trim(size: np.ndarray, pi: np.ndarray, ballast: np.ndarray) -> np.ndarray:
     return done
 
 
-_OUT = "doc_id long, size long, source_no int, whole long, pi double, ballast boolean"
+_KEPT = ["doc_id", "size", "source_no", "whole", "k1", "k2", "no"]
+_OUT = "doc_id long, size long, source_no int, whole long, k1 long, k2 long, no long, pi double, ballast boolean"
 
 
 def _fly(last: bool):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("pi", "ascending")])
+        group = group.sort_by([(c, "ascending") for c in ("doc_id", "size", "pi", "k1", "k2", "no")])
         pi, size = group.column("pi").to_numpy(), group.column("size").to_numpy()
         rng = np.random.default_rng([k.as_py() for k in key] + [group.num_rows])
         order = np.argsort(-size, kind="stable")
@@ -135,18 +137,22 @@ def _fly(last: bool):
             if key[1].as_py() == 0:
                 free = order[(pi[order] > EDGE) & (pi[order] < 1 - EDGE)]
                 ballast[free[:: max(1, len(free) // BALLAST)]] = True
-        return group.select(["doc_id", "size", "source_no", "whole"]).append_column("pi", pa.array(out)).append_column("ballast", pa.array(ballast))
+        return group.select(_KEPT).append_column("pi", pa.array(out)).append_column("ballast", pa.array(ballast))
 
     return run
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row; taken is size times the copies it gets."""
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("size"), "source", F.xxhash64("doc_id", "text").alias("spread")), "sizes")
-    return _decide(sized)
+    return decide(docs).drop("k1", "k2")
 
 
-def _decide(sized: DataFrame) -> DataFrame:
+def decide(docs: DataFrame) -> DataFrame:
+    """The rows of mix, with k1 and k2 (row_keys of id, text and source)."""
+    k1, k2 = row_keys("doc_id", "text", "source")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("size"), "source", k1.alias("k1"), k2.alias("k2"))
+    counted = materialize(rows.groupBy("doc_id", "size", "source", "k1", "k2").agg(F.count(F.lit(1)).alias("rows")), "counted")
+    sized = repeated(counted, "rows", "no").drop("rows")
     targets = materialize(source_targets(sized), "targets")
     n_sources = targets.count()
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(BLOCK))).cast("int")
@@ -157,7 +163,7 @@ def _decide(sized: DataFrame) -> DataFrame:
         known = F.broadcast(known)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ready = sized.join(known, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    ready = ready.select("doc_id", "size", "source_no", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"), F.pmod(F.xxhash64("spread", F.lit(3)), F.col("blocks")).cast("int").alias("block"))
+    ready = ready.select("doc_id", "size", "source_no", F.floor("rate").cast("long").alias("whole"), "k1", "k2", "no", (F.col("rate") - F.floor("rate")).alias("pi"), F.pmod(F.xxhash64("k1", "k2", "no"), F.col("blocks")).cast("int").alias("block"))
     flown = materialize(ready.groupBy("source_no", "block").applyInArrow(_fly(False), _OUT), "flight")
     settled, open_ = [], (F.col("pi") > EDGE) & (F.col("pi") < 1 - EDGE)
     left, ballast = flown.filter(open_), flown.filter(~open_ & F.col("ballast"))
@@ -166,7 +172,7 @@ def _decide(sized: DataFrame) -> DataFrame:
         most = left.groupBy("source_no").count().agg(F.max("count")).first()[0] or 0
         if most <= BLOCK:
             break
-        deal = F.pmod(F.xxhash64("doc_id", "size", F.lit(5 + len(settled))), F.lit(-(-most // BLOCK) * 2)).cast("int")
+        deal = F.pmod(F.xxhash64("k1", "k2", "no", F.lit(5 + len(settled))), F.lit(-(-most // BLOCK) * 2)).cast("int")
         flown = materialize(left.withColumn("block", deal + 1).groupBy("source_no", "block").applyInArrow(_fly(False), _OUT), "flight")
         settled.append(flown.filter(~open_))
         left = flown.filter(open_)
@@ -178,4 +184,4 @@ def _decide(sized: DataFrame) -> DataFrame:
     if n_sources <= 10_000:
         named = F.broadcast(named)
     taken = (F.col("size") * (F.col("whole") + F.round("pi").cast("long"))).alias("taken")
-    return out.join(named, "source_no").select("doc_id", "size", "source_size", "target", taken, (F.col("whole") + F.round("pi").cast("long")).alias("copies"), "source_no")
+    return out.join(named, "source_no").select("doc_id", "size", "source_size", "target", taken, (F.col("whole") + F.round("pi").cast("long")).alias("copies"), "source_no", "k1", "k2")

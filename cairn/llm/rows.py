@@ -2,47 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, small_or_shuffled
+from cairn.llm import cube, odd_sketch
+from cairn.llm.common import materialize, repeated, row_keys, small_or_shuffled
 
 
-def take_copies(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs as often as decided (doc_id, size, copies; one row per row of docs) says.
+def take_copies(docs: DataFrame) -> DataFrame:
+    """Rows of docs as often as the mix takes them; of rows equal in id, text and source one stands for all."""
+    names = ("doc_id", "text", "source")
+    totals = cube.decide(docs).groupBy("k1", "k2").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
+    totals = materialize(totals.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "copies")
+    n = totals.count()
+    k1, k2 = row_keys(*names)
+    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
+    single = keyed.join(small_or_shuffled(totals.filter("_rows = 1").drop("_rows"), n, 24), ["_k1", "_k2"])
+    single = single.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    many = totals.filter("_rows > 1").drop("_rows")
+    if many.isEmpty():
+        return single.select(*docs.columns)
+    one = keyed.join(small_or_shuffled(many, n, 24), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return single.select(*docs.columns).unionByName(repeated(materialize(one, "equal-rows"), "_copies", "_no").select(*docs.columns))
 
-    Rows whose id is null or repeats are matched by their order by size and text within the id.
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of near copies, and all rows without words: rows go, not ids.
+
+    The row with the smallest id stays, of rows without id any; of rows equal in id and text one.
     """
-    from cairn.llm.cube import words
-
-    decided = materialize(decided.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "copies")
-    many = materialize(decided.groupBy("_id").count().filter("count > 1 or _id is null").select(F.col("_id").alias("_many")), "repeated")
-    n, n_many = decided.count(), many.count()
-    few = small_or_shuffled(many, n_many, 16)
-    plain, single = docs, decided
-    if n_many:
-        plain = docs.filter("doc_id is not null").join(few, F.col("doc_id") == F.col("_many"), "left_anti")
-        single = decided.join(few, F.col("_id").eqNullSafe(F.col("_many")), "left_anti")
-    out = plain.join(small_or_shuffled(single.filter("_copies > 0").select("_id", "_copies"), n, 24), F.col("doc_id") == F.col("_id")).drop("_id")
-    if n_many:
-        order = Window.partitionBy("doc_id").orderBy(words(F.col("text")), F.xxhash64("text"))
-        again = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_many")), "left_semi").withColumn("_turn", F.row_number().over(order))
-        turns = decided.join(few, F.col("_id").eqNullSafe(F.col("_many")), "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy("_id").orderBy("_size", "_copies")))
-        more = again.join(turns, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_turn") == F.col("_at"))).filter("_copies > 0").drop("_id", "_size", "_at", "_turn")
-        out = out.unionByName(more)
-    return out.withColumn("_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
-
-
-def keep_one_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """docs without the rows that marked (doc_id, kept) drops; of rows that repeat an id and stay, the first by text."""
-    marked = materialize(marked.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), "kept")
-    gone = marked.filter("not _kept").select(F.col("_id").alias("_gone")).distinct()
-    twice = materialize(marked.filter("_kept and _id is not null").groupBy("_id").count().filter("count > 1").select(F.col("_id").alias("_twice")), "twice")
-    n_gone, n_twice = gone.count(), twice.count()
-    out = docs.join(small_or_shuffled(gone, n_gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
-    if n_twice:
-        few = small_or_shuffled(twice, n_twice, 16)
-        first = out.join(few, F.col("doc_id") == F.col("_twice"), "left_semi")
-        first = first.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_turn = 1").drop("_turn")
-        out = out.join(few, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(first)
-    return out
+    gone, twice = (materialize(x, "surplus") for x in odd_sketch.surplus(docs))
+    k1, k2 = row_keys()
+    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
+    named = lambda x: small_or_shuffled(x.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), x.count(), 16)
+    out = keyed.join(named(gone), ["_k1", "_k2"], "left_anti")
+    if not twice.isEmpty():
+        one = out.join(named(twice), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+        out = out.join(named(twice), ["_k1", "_k2"], "left_anti").unionByName(one)
+    return out.select(*docs.columns)
