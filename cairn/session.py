@@ -14,12 +14,16 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 #: Rows of an Arrow batch: whole texts travel in them, so the default of 10,000 is too many.
 BATCH_ROWS = 2000
+#: Bytes of an Arrow batch: whole matrices travel in some.
+BATCH_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, and keep Arrow batches small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
