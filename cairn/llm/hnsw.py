@@ -2,20 +2,25 @@
 
 Every shard (vectors dealt by a hash of their id) builds a graph in batches: new
 points search the graph that stands, meet each other directly, and link to a diverse
-choice of what was found.  Every vector then queries every shard in lock-step beam
-searches over blocks of queries.  A query whose beam holds little else than links
-searches again with a wider one, and at WIDEST the shard is compared outright.  In
-each block queries are drawn and audited against brute force until they show SEEN links
-to vectors other than themselves; the beam widens until the audit finds TARGET of the
-links.  Where half the block shows fewer, links are too rare to audit a search by, and
-the block is compared with the shard outright.  Found pairs are verified by cosine in double
-precision; every block returns each vector's number of links and a forest of them, and
-the forests are united to components.
+choice of what was found.  A shard's beam is found by an audit against planted links: members turned by
+a random angle up to the threshold, whose link with the member is known; the beam widens
+until TARGET of them are found, and WIDENED times at most, after which the shard counts as
+one that no search can be trusted with and is compared outright.
+
+Every vector then queries every shard in lock-step beam searches over blocks of queries.
+In each block some queries are audited against brute force besides, and the beam widens
+until TARGET of their links to others are found too.  A query whose beam holds little else
+than links searches again with a wider one, and beyond the widest is compared with the
+shard outright.  Found pairs are verified by cosine in double precision; every block returns
+each vector's number of links and a forest of them, and the forests are united to components.
+
+Equal vectors are one vertex with their number, so a group of copies costs what one costs.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; vectors link only with those of equal length; a null id has n_links 0 and
-component null; rows that repeat an id are one vertex with the links of each row, never
-to itself; extra columns are not read; an empty table gives no rows.
+component null and counts for nobody; rows that repeat an id are vectors of their own;
+extra columns are not read; an empty table gives no rows.  A shard holds SHARD vectors and
+SHARD_BYTES of components at most, whatever their length.
 """
 
 from __future__ import annotations
@@ -28,17 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, skew_join
 from cairn.llm.graph import components
 from cairn.llm.topk import usable
 
-#: Vectors in a shard at most, shards at least, queries in a block, blocks that one task takes through a graph.
-SHARD, SHARDS, QUERIES, LANE = 50_000, 4, 4096, 8
-NEIGHBOURS, BEAM, WIDEST = 12, 32, 128
+#: Vectors, and bytes of components, in a shard at most, shards at least.
+SHARD, SHARD_BYTES, SHARDS = 50_000, 128 << 20, 4
+#: Queries, and bytes of components, in a block, blocks that one task takes through a graph.
+QUERIES, QUERY_BYTES, LANE = 4096, 32 << 20, 4
+#: Links of a vector, beam of building and of the first search, how often it doubles before a shard is compared outright.
+NEIGHBOURS, BEAM, WIDENED = 16, 48, 4
 #: Points that join a graph together at most.
 GROWTH = 512
-#: Queries first audited, links to other vectors that an audit must see, share of them to be found.
-AUDIT, SEEN, TARGET = 24, 200, 0.99
+#: Planted links of a shard's audit, queries of a block's audit, share of the links to be found.
+PLANTED, AUDIT, TARGET = 300, 32, 0.99
 LEVEL = 24
 CHUNK = 1 << 16
 
@@ -196,66 +204,72 @@ class Graph:
         return ids, score
 
 
-def within(graph: Graph, q: np.ndarray, bar: float, seed: int = 0, qid: np.ndarray | None = None, xid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) whose float32 cosine reaches bar, as far as the searches find them; the beam widens until an audit passes.
+def turned(x: np.ndarray, cosine: np.ndarray, seed: int) -> np.ndarray:
+    """Unit vectors at the given cosines from those of x, each in a random direction."""
+    aside = np.random.default_rng(seed).normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.divide(aside, size, out=np.zeros_like(aside), where=size > 0)
+    return (cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * aside).astype(np.float32)
+
+
+def trusted_beam(graph: Graph, bar: float, seed: int = 0) -> tuple[int, int, int]:
+    """The first beam that finds TARGET of the planted links (0: none does), links planted, links found by it."""
+    n = len(graph.x)
+    some = np.random.default_rng(seed).permutation(n)[:PLANTED]
+    planted = turned(graph.x[some], np.linspace(bar, 1, len(some), endpoint=False), seed)
+    beam = BEAM
+    for _ in range(WIDENED + 1):
+        if beam >= n:
+            break
+        ids, _ = graph.search(planted, beam)
+        found = int((ids == some[:, None]).any(axis=1).sum())
+        if found >= TARGET * len(some):
+            return beam, len(some), found
+        beam *= 2
+    return 0, len(some), len(some)
+
+
+def within(graph: Graph, q: np.ndarray, bar: float, beam: int, seed: int = 0, qid: np.ndarray | None = None, xid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Pairs (query, vector) whose float32 cosine reaches bar, as far as searches that pass the audit find them; audited links, and those found.
 
     The ids of queries and vectors, if given, keep a query's match with itself out of the audit.
     """
     if not len(graph.x) or not len(q):
-        return np.zeros(0, int), np.zeros(0, int)
-    order, drawn, links = np.random.default_rng(seed).permutation(len(q)), 0, np.zeros(len(q), dtype=np.int64)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def real(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Links of each query to others."""
-        return np.bincount(a if qid is None or xid is None else a[qid[a] != xid[b]], minlength=len(q))
-
-    def draw(many: int) -> None:
-        nonlocal drawn, links
-        now = order[drawn : drawn + many]
-        a, b = _outright(graph, q[now], bar)
-        pairs.append((now[a], b))
-        links = links + real(now[a], b)
-        drawn += len(now)
-
-    beam, passed, full = BEAM, False, np.zeros(len(q), dtype=bool)
-    while not passed and beam < min(WIDEST, len(graph.x)):
-        while links.sum() < SEEN and 2 * drawn < len(q):
-            draw(max(AUDIT, drawn))
-        if links.sum() < SEEN:
-            break
-        ids, score = graph.search(q, beam)
-        hit = score >= bar
-        full = hit.sum(axis=1) * 2 > beam
-        while links[~full].sum() < SEEN and 2 * drawn < len(q):
-            draw(max(AUDIT, drawn))
-        wanted = links[~full].sum()
-        if wanted < SEEN:
+        return np.zeros(0, int), np.zeros(0, int), 0, 0
+    some = np.random.default_rng(seed).permutation(len(q))[:AUDIT]
+    a, b = _outright(graph, q[some], bar)
+
+    def others(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Links of each audited query to others."""
+        return np.bincount(a if qid is None or xid is None else a[qid[some[a]] != xid[b]], minlength=len(some))
+
+    truth, widest = others(a, b), BEAM << WIDENED
+    while 0 < beam <= widest and beam < len(graph.x):
+        ids, score = graph.search(q[some], beam)
+        x, y = np.nonzero(score >= bar)
+        whole = (score >= bar).sum(axis=1) * 2 <= beam
+        wanted, found = int(truth[whole].sum()), int(others(x, ids[x, y])[whole].sum())
+        if found >= TARGET * wanted:
             break
-        left = np.ones(len(q), dtype=bool)
-        left[order[:drawn]] = False
-        a, b = np.nonzero(hit & ~full[:, None] & ~left[:, None])
-        passed = real(a, ids[a, b]).sum() >= TARGET * wanted
-        beam *= 1 if passed else 2
-    if not passed:
-        draw(len(q))
-        return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    a, b = np.nonzero(hit & ~full[:, None] & left[:, None])
-    pairs.append((a, ids[a, b].astype(np.int64)))
-    rest = np.flatnonzero(full & left)
+        beam *= 2
+    else:
+        a, b = _outright(graph, q, bar)
+        return a, b, int(truth.sum()), int(truth.sum())
+    pairs, rest = [], np.arange(len(q))
     while len(rest):
-        beam *= 4
-        if beam >= min(WIDEST, len(graph.x)):
-            a, b = _outright(graph, q[rest], bar)
-            pairs.append((rest[a], b))
+        if beam > widest or beam >= len(graph.x):
+            x, y = _outright(graph, q[rest], bar)
+            pairs.append((rest[x], y))
             break
         ids, score = graph.search(q[rest], beam)
         hit = score >= bar
         full = hit.sum(axis=1) * 2 > beam
-        a, b = np.nonzero(hit & ~full[:, None])
-        pairs.append((rest[a], ids[a, b].astype(np.int64)))
-        rest = rest[full]
-    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        x, y = np.nonzero(hit & ~full[:, None])
+        pairs.append((rest[x], ids[x, y].astype(np.int64)))
+        rest, beam = rest[full], beam * 4
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    return a, b, wanted, found
 
 
 def _outright(graph: Graph, q: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray]:
@@ -285,59 +299,87 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None, with_recall: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row; with_recall the audited share of links found, too (null without links)."""
     v = F.col("embedding").cast("array<double>")
-    ok = usable(v) & F.exists(v, lambda x: x != 0)
-    good = vectors.filter(F.col("vec_id").isNotNull() & ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(v).cast("long").alias("width"))
-    n = good.count()
-    shards = shards or max(SHARDS, -(-n // SHARD))
-    good = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    gathered = good.groupBy("width", "shard").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat"))
-    made = materialize(gathered.mapInArrow(_graphs, "width long, shard int, ids array<long>, flat array<double>, graph binary"), "graphs")
-    parts = max(1, -(-n // QUERIES))
+    ok = F.col("vec_id").isNotNull() & usable(v) & F.exists(v, lambda x: x != 0)
+    hashes = [F.when(ok, h).alias(k) for k, h in (("k1", F.xxhash64(v)), ("k2", F.xxhash64(F.lit(7), v)))]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), *hashes, v.alias("v"))
+    made = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
+    good = materialize(made.withColumn("id", F.monotonically_increasing_id()).withColumn("width", F.size("v").cast("long")), "vectors")
+    n, cells, total = good.agg(F.count(F.lit(1)), F.coalesce(F.sum("width"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    shards = shards or max(SHARDS, -(-n // SHARD), -(-cells * 8 // SHARD_BYTES))
+    parts = max(1, -(-n // QUERIES), -(-cells * 8 // QUERY_BYTES))
     lanes = -(-parts // LANE)
-    asking = good.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
-    asked = asking.groupBy("width", "part").agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("query_flat"))
+    dealt = good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
+    # numbers of partitions are given, as they hold few rows and hours of work, and are not to be put together
+    spread = lambda df, many, *keys: df.repartition(min(4 * many, 10_000), *keys)
+    shard_rows = spread(dealt, shards, "width", "shard").groupBy("width", "shard").agg(F.collect_list("id").alias("ids"), F.collect_list("m").alias("sizes"), F.flatten(F.collect_list("v")).alias("flat"))
+    graphs = materialize(shard_rows.mapInArrow(_graphs(threshold), GRAPHS), "graphs")
+    asked = spread(dealt, parts, "width", "part").groupBy("width", "part").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("query_flat"))
     met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("lane", F.pmod("part", F.lit(lanes)))
-    ready = made.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    ready = graphs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    schema = "id long, other long, links long, wanted long, found long"
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
+        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 5]
+
+        def give(id_: np.ndarray, other: np.ndarray | int = -1, links: np.ndarray | int = 0, wanted: int = 0, found: int = 0) -> None:
+            cols.append([np.broadcast_to(np.asarray(x, dtype=np.int64), np.shape(id_)) for x in (id_, other, links, wanted, found)])
+
         if left.num_rows and right.num_rows:
             xid, x = _matrix(right.column("ids"), right.column("flat"), 0, key[0].as_py())
+            size = right.column("sizes")[0].values.to_numpy()
             graph = Graph.load(x.astype(np.float32), right.column("graph")[0].as_py())
             for i in range(left.num_rows):
                 qid, q = _matrix(left.column("query_ids"), left.column("query_flat"), i, key[0].as_py())
-                a, b = within(graph, q.astype(np.float32), threshold - 1e-5, qid=qid, xid=xid)
+                a, b, wanted, found = within(graph, q.astype(np.float32), threshold - 1e-5, right.column("beam")[0].as_py(), qid=qid, xid=xid)
                 linked = np.concatenate([np.einsum("nd,nd->n", q[a[c : c + CHUNK]], x[b[c : c + CHUNK]]) >= threshold for c in range(0, max(1, len(a)), CHUNK)])
                 linked &= qid[a] != xid[b]
                 a, b = a[linked], b[linked]
-                count, keep = np.bincount(a, minlength=len(qid)), forest(qid[a], xid[b])
-                some = count > 0
-                rows.append((qid[some], count[some], np.full(some.sum(), -1), np.zeros(some.sum(), dtype=bool)))
-                rows.append((qid[a[keep]], np.zeros(keep.sum(), dtype=np.int64), xid[b[keep]], np.ones(keep.sum(), dtype=bool)))
-        cols = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-        return pa.table({"vec_id": cols[0].astype(np.int64), "n": cols[1].astype(np.int64), "other": cols[2].astype(np.int64), "edge": cols[3]})
+                links = np.zeros(len(qid), dtype=np.int64)
+                np.add.at(links, a, size[b])
+                keep = forest(qid[a], xid[b])
+                give(qid[links > 0], links=links[links > 0])
+                give(qid[a[keep]], other=xid[b[keep]])
+                give(np.array([-1]), wanted=wanted, found=found)
+        return pa.table(dict(zip([c.split()[0] for c in schema.split(", ")], (np.concatenate(c) for c in zip(*cols)))))
 
     keys = ["width", "shard", "lane"]
-    pairs = met.groupBy(*keys).cogroup(ready.groupBy(*keys)).applyInArrow(compare, "vec_id long, n long, other long, edge boolean")
-    found = materialize(pairs, "links")
-    joined = components(found.filter("edge"), "vec_id", "other", "low")
-    counts = found.filter("not edge").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(ok, F.lit(False)).alias("ok"))
-    out = every.join(counts, "vec_id", "left").join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    low = F.coalesce(F.when(F.col("ok"), F.col("low")), F.col("vec_id"))
-    return out.select("vec_id", F.coalesce(F.when(F.col("ok"), F.col("n")), F.lit(0)).cast("long").alias("n_links"), low.alias("component_id"), F.col("vec_id").eqNullSafe(low).alias("kept"))
-
-
-def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            _, x = _matrix(row.column("ids"), row.column("flat"), 0, row.column("width")[0].as_py())
-            made = pa.array([Graph(x.astype(np.float32)).dump()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*row.columns, made], [*row.schema.names, "graph"])
+    pairs = spread(met, shards * lanes, *keys).groupBy(*keys).cogroup(spread(ready, shards * lanes, *keys).groupBy(*keys)).applyInArrow(compare, schema)
+    met_all = materialize(pairs, "links")
+    joined = components(met_all.filter("other >= 0"), "id", "other", "top").withColumnRenamed("node", "id")
+    links = met_all.filter("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
+    named = good.select("id", "k1", "k2", "m", "low").join(joined, "id", "left").join(links, "id", "left")
+    named = materialize(named.withColumn("top", F.coalesce("top", "id")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("m") - 1), "named")
+    least = materialize(named.groupBy("top").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("of")), "least")
+    named = materialize(skew_join(named, least, ["top"], "of", n).select("k1", "k2", "m", "n_links", "component_id"), "named")
+    out = skew_join(rows.select("vec_id", "k1", "k2"), named, ["k1", "k2"], "m", total, "left")
+    low = F.coalesce("component_id", "vec_id")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), low.alias("component_id"), F.col("vec_id").eqNullSafe(low).alias("kept"))
+    if with_recall:
+        wanted, found = graphs.agg(F.sum("wanted"), F.sum("found")).first()
+        more = met_all.filter("id = -1").agg(F.sum("wanted"), F.sum("found")).first()
+        wanted, found = (wanted or 0) + (more[0] or 0), (found or 0) + (more[1] or 0)
+        out = out.withColumn("recall", F.lit(found / wanted if wanted else None).cast("double"))
+    return out
+
+
+GRAPHS = "width long, shard int, ids array<long>, sizes array<long>, flat array<double>, graph binary, beam int, wanted long, found long"
+
+
+def _graphs(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                _, x = _matrix(row.column("ids"), row.column("flat"), 0, row.column("width")[0].as_py())
+                graph = Graph(x.astype(np.float32))
+                beam, wanted, found = trusted_beam(graph, threshold)
+                made = [pa.array([graph.dump()], pa.binary()), pa.array([beam], pa.int32()), pa.array([wanted]), pa.array([found])]
+                yield pa.RecordBatch.from_arrays([*row.columns, *made], [x.split()[0] for x in GRAPHS.split(", ")])
+
+    return run
 
 
 def _matrix(ids: pa.Array | pa.ChunkedArray, flat: pa.Array | pa.ChunkedArray, i: int, width: int) -> tuple[np.ndarray, np.ndarray]:
