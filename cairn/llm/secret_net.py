@@ -1,11 +1,14 @@
 """Secret scans: three rules, and a character convolutional network for what they miss.
 
-Candidates are the rules' findings and, of every unbroken run of 16 or more key
-characters that has both a letter and a digit, what the findings leave of it in pieces
-of 16 or more.  The network reads each with its
-surrounding text; over a long one its window slides, and the highest score counts.  It is trained here, in numpy, on labelled findings drawn from
-seeded templates; its scores are calibrated on a part held out, and its threshold is
-the highest that keeps RECALL of the secrets held out.  Findings of the rules stay
+Candidates are the rules' findings and what the findings leave of every unbroken run of
+SHORTEST or more key characters, in pieces as long, but for plain words: letters of one case
+(the first may be a capital) and, at the end, full stops, fewer than WORDLIKE in all.  The
+network reads each with its surrounding text; over a long one its window slides, and the
+highest score counts.
+
+It is trained here, in numpy, on labelled findings of seeded templates.  Calibration and
+threshold come from findings of other formats, which training never saw: the threshold is
+the highest that keeps RECALL of the secrets among them.  Findings of the rules stay
 whatever it says; it adds spans of kind net, also for findings that it takes for secrets.
 
 Cases: null or empty text: no spans (sha256 of the empty string).  Null doc_ids and
@@ -29,10 +32,12 @@ from cairn.llm.common import slices, text_array
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more: what stays of all runs
-OTHER = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+SHORTEST, WORDLIKE = 12, 24
+OTHER = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{SHORTEST},}}")
+PLAIN = re.compile(rf"(?=.{{,{WORDLIKE - 1}}}\Z)(?:[A-Za-z]?[a-z]*|[A-Z]*)\Z", re.DOTALL)
 KINDS = ["assign", "access", "hex", "net"]
 #: Cheap tests of a text, each true wherever its rule could find something.
-HINTS = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}", "net": "[A-Za-z0-9+/_=.-]{16}"}
+HINTS = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}", "net": rf"[A-Za-z0-9+/_=.-]{{{SHORTEST}}}"}
 
 BEFORE, INSIDE, AFTER = 20, 40, 8
 WIDTH, FILTERS, TAPS = BEFORE + INSIDE + AFTER, 16, 5
@@ -40,7 +45,7 @@ WIDTH, FILTERS, TAPS = BEFORE + INSIDE + AFTER, 16, 5
 SLIDE, SCORED = 4, 2048
 CLASSES = 24
 RECALL = 0.97
-TRAINED_ON = 3000
+TRAINED_ON = 5000
 
 
 def char_classes() -> np.ndarray:
@@ -68,22 +73,24 @@ def base_findings(text: str, hints: set[str]) -> list[tuple[int, int, str]]:
 
 
 def other_candidates(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs with a letter and a digit, less the base findings (by start) in them: what remains in pieces of 16 or more."""
+    """What the base findings (by start) leave of every run, less plain words."""
     out, first = [], 0
+
+    def add(at: int, end: int) -> None:
+        piece = text[at:end].rstrip(".")
+        if len(piece) >= SHORTEST and not PLAIN.match(piece):
+            out.append((at, at + len(piece)))
+
     for m in OTHER.finditer(text):
-        run = m[0].rstrip(".")
-        at, end = m.start(), m.start() + len(run)
-        if len(run) >= 16 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            while first < len(found) and found[first][1] <= at:
-                first += 1
-            k = first
-            while k < len(found) and found[k][0] < end:
-                if found[k][0] - at >= 16:
-                    out.append((at, found[k][0]))
-                at = max(at, found[k][1])
-                k += 1
-            if end - at >= 16:
-                out.append((at, end))
+        at, end = m.span()
+        while first < len(found) and found[first][1] <= at:
+            first += 1
+        k = first
+        while k < len(found) and found[k][0] < end:
+            add(at, found[k][0])
+            at = max(at, found[k][1])
+            k += 1
+        add(at, end)
     return out
 
 
@@ -106,31 +113,60 @@ def windows(text: str, s: int, e: int) -> Iterator[np.ndarray]:
         yield window(text, s, e, e - INSIDE)
 
 
-def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled findings: secrets and harmless runs in invented contexts."""
-    r = np.random.default_rng(seed)
-    pick = lambda letters, k: "".join(r.choice(list(letters), k))
-    hexes, lows, caps, digits = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    any64 = lows + caps + digits
-    word = lambda: pick("etaoinshrdlu", int(r.integers(2, 9)))
-    secrets = [
-        lambda: pick(hexes, int(r.choice([32, 40, 64]))), lambda: "AKIA" + pick(caps + digits, 16), lambda: "ghp_" + pick(any64, 36), lambda: "sk_live_" + pick(any64, 24),
-        lambda: "xoxb-" + pick(digits, 12) + "-" + pick(any64, 24), lambda: "AIza" + pick(any64 + "-_", 35), lambda: "eyJ" + pick(any64, 30) + "." + pick(any64 + "-_", 30), lambda: pick(any64 + "+/", int(r.integers(30, 44))) + "=", lambda: pick(any64, int(r.integers(20, 40))),
-    ]
-    harmless = [
-        lambda: "-".join(word() for _ in range(int(r.integers(3, 6)))) + pick(digits, 2), lambda: "_".join(word() for _ in range(3)) + "_" + pick(digits, 1), lambda: "/".join(word() for _ in range(int(r.integers(3, 6)))) + "/" + pick(digits, 4) + ".html",
-        lambda: f"20{pick(digits, 2)}-0{pick(digits[1:], 1)}-1{pick(digits, 1)}T1{pick(digits, 1)}.{pick(digits, 6)}Z", lambda: word() + "." + word() + "." + word() + pick(digits, 3) + ".com", lambda: word() + word() + word() + pick(digits, 2),
-        lambda: pick(digits, 4) + "-" + word() + "-" + pick(digits, 4) + "-" + word(), lambda: f"v{pick(digits, 1)}.{pick(digits, 2)}.{pick(digits, 1)}-{word()}-{word()}-x{pick(digits, 2)}", lambda: word().upper() + "-" + pick(digits, 6) + "-" + word().upper() + "-" + pick(digits, 4),
-    ]
+HEXES, LOWS, CAPS, DIGITS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ANY = LOWS + CAPS + DIGITS
+
+
+class Templates:
+    """Invented findings of seeded random: formats to train on, and others to calibrate and set the threshold by."""
+
+    def __init__(self, seed: int):
+        self.r = np.random.default_rng(seed)
+
+    def pick(self, letters: str, low: int, high: int | None = None) -> str:
+        return "".join(self.r.choice(list(letters), low if high is None else int(self.r.integers(low, high))))
+
+    def word(self) -> str:
+        return self.pick("etaoinshrdlu" + "etaoin" + LOWS, 2, 10)
+
+    def words(self, low: int, high: int, between: str) -> str:
+        return between.join(self.word() for _ in range(int(self.r.integers(low, high))))
+
+    def trained(self, secret: bool) -> str:
+        p, d, w, ws = self.pick, lambda n: self.pick(DIGITS, n), self.word, self.words
+        if secret:
+            makers = [lambda: p(HEXES, int(self.r.choice([32, 40, 64]))), lambda: "AKIA" + p(CAPS + DIGITS, 16), lambda: "ghp_" + p(ANY, 36), lambda: "sk_live_" + p(ANY, 24), lambda: "xoxb-" + d(12) + "-" + p(ANY, 24), lambda: "AIza" + p(ANY + "-_", 35), lambda: "eyJ" + p(ANY, 30) + "." + p(ANY + "-_", 30), lambda: p(ANY + "+/", 30, 60) + "=" * int(self.r.integers(0, 3)), lambda: p(ANY, 18, 44), lambda: p(LOWS + DIGITS, 24, 40), lambda: p(HEXES.upper(), int(self.r.choice([32, 40]))), lambda: p(ANY + "-_", 20, 44), lambda: w() + "_" + p(ANY, 24, 40)]
+        else:
+            makers = [lambda: ws(3, 6, "-") + d(2), lambda: ws(3, 5, "_") + "_" + d(1), lambda: ws(3, 7, "/") + "/" + d(4) + ".html", lambda: f"20{d(2)}-0{d(1)}-1{d(1)}T1{d(1)}.{d(6)}Z", lambda: w() + d(1) + "." + w() + w() + "." + w(), lambda: ws(3, 5, "") + d(2), lambda: d(4) + "-" + w() + "-" + d(4) + "-" + w(), lambda: f"v{d(1)}.{d(2)}.{d(1)}-{w()}-{w()}-x{d(2)}", lambda: w().upper() + "-" + d(6) + "-" + w().upper() + "-" + d(4), lambda: d(int(self.r.integers(12, 20))), lambda: ".".join(p("123456789", 1) + d(2) for _ in range(4)), lambda: ws(4, 8, ""), lambda: p("-=_.", 1) * int(self.r.integers(12, 60)), lambda: "".join(x.capitalize() for x in ws(3, 6, " ").split()), lambda: ws(2, 5, ".") + "." + w().capitalize() + w().capitalize(), lambda: "/" + ws(3, 8, "/"), lambda: w() + "=" + w() + "_" + w(), lambda: ws(2, 3, "").capitalize() + "." + d(2), lambda: "+" + d(2) + "-" + d(3) + "-" + d(4) + "-" + d(3)]
+        return makers[int(self.r.integers(len(makers)))]()
+
+    def held_out(self, secret: bool) -> str:
+        p, d, w, ws = self.pick, lambda n: self.pick(DIGITS, n), self.word, self.words
+        if secret:
+            makers = [lambda: "glpat-" + p(ANY + "-_", 20), lambda: "npm_" + p(ANY, 36), lambda: "SG." + p(ANY + "-_", 22) + "." + p(ANY + "-_", 43), lambda: "hf_" + p(ANY, 34), lambda: p(HEXES, int(self.r.choice([48, 56]))), lambda: "dop_v1_" + p(HEXES, 64), lambda: p(CAPS + LOWS + DIGITS + "/+", 40), lambda: "shpat_" + p(HEXES, 32), lambda: "ya29." + p(ANY + "-_", 60), lambda: p(CAPS + "234567", 32)]
+        else:
+            makers = [lambda: w() + "".join(x.capitalize() for x in ws(2, 5, " ").split()), lambda: "978-" + d(1) + "-" + d(2) + "-" + d(6) + "-" + d(1), lambda: "IMG_20" + d(6) + "_" + d(6) + ".jpg", lambda: "_".join(x.upper() for x in ws(3, 5, " ").split()), lambda: ws(2, 4, "/") + "/" + ws(2, 3, "_") + ".py", lambda: f"20{d(2)}-0{d(1)}-0{d(1)}/20{d(2)}-1{d(1)}-2{d(1)}", lambda: w() + "-" + d(1) + "." + d(1) + "." + d(1) + ".tar.gz", lambda: w() + "." + w() + "." + ws(2, 3, "-") + ".org", lambda: d(3) + "." + d(3) + "." + d(3) + "-" + d(2), lambda: ws(2, 4, "--")]
+        return makers[int(self.r.integers(len(makers)))]()
+
+
+def examples(n: int, seed: int, held_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled findings in invented contexts, secrets and harmless runs by turns."""
+    t = Templates(seed)
+    leads = ["key is ", "auth: ", "login with ", "pass "] if held_out else ["key: ", "auth=", 'bearer "', "export KEY=", "credential: "]
     x, y = [], []
     for i in range(n):
         secret = i % 2 == 0
-        core = (secrets if secret else harmless)[int(r.integers(9))]()
-        lead = " ".join(word() for _ in range(4)) + " "
-        if secret and r.random() < 0.3:
-            lead += str(r.choice(["key: ", "auth=", 'bearer "', "export KEY=", "credential: "]))
-        text = lead + core + str(r.choice(["", " ", '"', "\n", ". "])) + word()
-        x.append(window(text, len(lead), len(lead) + len(core)))
+        core = ""
+        while len(core) < SHORTEST:
+            core = (t.held_out if held_out else t.trained)(secret)
+        lead = t.words(4, 5, " ") + " "
+        if secret and t.r.random() < 0.3:
+            lead += str(t.r.choice(leads))
+        text = lead + core + str(t.r.choice(["", " ", '"', "\n", ". "])) + t.word()
+        at = len(lead)
+        if len(core) > INSIDE and t.r.random() < 0.7:  # as the window slides
+            at += int(t.r.integers(0, len(core) - INSIDE + 1))
+        x.append(window(text, len(lead), len(lead) + len(core), at))
         y.append(secret)
     return np.array(x), np.array(y, dtype=np.float64)
 
@@ -195,11 +231,10 @@ class Network:
 
 @lru_cache(maxsize=1)
 def trained() -> Network:
-    x, y = examples(TRAINED_ON, 1)
-    held = TRAINED_ON * 3 // 4
+    """Trained once a process: some seconds."""
     net = Network()
-    net.fit(x[:held], y[:held])
-    net.calibrate(x[held:], y[held:], RECALL)
+    net.fit(*examples(TRAINED_ON, 1))
+    net.calibrate(*examples(TRAINED_ON // 3, 2, True), RECALL)
     return net
 
 
