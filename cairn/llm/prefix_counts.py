@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ KEPT, KEPT_PAIRS = 500_000, 2_000_000
 #: Unicode white space, as the tokenizer's split has it.
 BLANK = r"\t-\r \x85\xa0  -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+RUN = regex.compile(rf"[{BLANK}]+")
+CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 UNIT = regex.compile(rf"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 WIDE = "\u0085| | |[ - ]| | | | |　"
 
@@ -42,7 +45,9 @@ class PrefixCounter:
         self.vocabulary = set(spec["model"]["vocab"])
         merges = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"])
         self.rank = {m: i for i, m in enumerate(merges)}
-        self.longest = max(map(len, self.vocabulary))
+        # every end of a vocabulary entry, and whether it is an entry itself
+        self.ends = {t[i:]: False for t in self.vocabulary for i in range(len(t))}
+        self.ends.update(dict.fromkeys(self.vocabulary, True))
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in enumerate(byte_letters())})
@@ -71,16 +76,21 @@ class PrefixCounter:
     def piece(self, letters: str) -> list[int]:
         """Counts at the prefixes of 1, 2, ... bytes of one piece."""
         counts, last = [0], [""]
-        vocabulary, beside, longest = self.vocabulary, self.beside, self.longest
+        beside, ends = self.beside, self.ends
         for end in range(1, len(letters) + 1):
-            for start in range(max(0, end - longest), end):
+            fitting, start = (), end
+            # the entries that end here, from the shortest on, as far as any entry goes on
+            while start and (known := ends.get(letters[start - 1 : end])) is not None:
+                start -= 1
+                if known:
+                    fitting = (start, *fitting)
+            for start in fitting:
                 token = letters[start:end]
-                if token in vocabulary:
-                    got = beside.get((last[start], token))
-                    if got or (got is None and self.fits(last[start], token)):
-                        counts.append(counts[start] + 1)
-                        last.append(token)
-                        break
+                got = beside.get((last[start], token))
+                if got or (got is None and self.fits(last[start], token)):
+                    counts.append(counts[start] + 1)
+                    last.append(token)
+                    break
         return counts[1:]
 
     def as_letters(self, text: str) -> str:
@@ -115,34 +125,51 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         return sum(1 if special else sum(map(self.unit, UNIT.findall(part))) for part, special in self.parts(text))
 
-    def prefixes(self, text: str) -> np.ndarray:
-        """The exact token count of text[:i] for every i from 0.
+    def by_points(self, piece: str) -> list[int]:
+        """Counts at the prefixes of a piece by code points."""
+        counts = self.piece(self.as_letters(piece))
+        return counts if piece.isascii() else [counts[i - 1] for i in accumulate(len(c.encode("utf-8")) for c in piece)]
+
+    def ordinary(self, text: str) -> list[int]:
+        """The count of text[:i] for every i from 0, no special strings in it, in one pass.
 
-        A prefix that ends inside a piece is split as it stands: its tail is the part of the
-        unit read so far, split anew where that differs (contractions, white space).
+        A prefix is split like the text but for its end: white space there is one piece, while in the
+        text its last blank is not (it goes with what follows, or alone); a contraction is one only when
+        it is complete, and before that a mark and a letter.
         """
-        out, base, lead, before = [0], 0, 0, ""
-        for part, special in self.parts(text):
+        out, base, at, lead = [0], 0, 0, ""
+        for m in chain(RUN.finditer(text), (None,)):
+            start, end = m.span() if m else (len(text), len(text))
+            for piece in SPLIT.findall(lead + text[at:start]) if at < start else ():
+                counts, skip = self.by_points(piece), len(lead)
+                if piece in CONTRACTIONS:
+                    mark = self.whole("'")
+                    counts = [mark, mark + self.whole(piece[1]), counts[-1]][: len(piece) - 1] + counts[-1:]
+                out += [base + c for c in counts[skip:]]
+                base += counts[-1]
+                lead = ""
+            if m:
+                blanks = m[0]
+                counts = self.by_points(blanks)
+                out += [base + c for c in counts]
+                if end == len(text):
+                    break
+                base += counts[-2] if len(blanks) > 1 else 0
+                lead = " " if blanks[-1] == " " else ""
+                base += 0 if lead else self.whole(blanks[-1])
+            at = end
+        return out
+
+    def prefixes(self, text: str) -> np.ndarray:
+        """The exact token count of text[:i] for every i from 0; a special string counts when it is complete."""
+        out, base, parts = [0], 0, list(self.parts(text))
+        for k in range(0, len(parts), 2):
+            part, special = parts[k][0], parts[k + 1][0] if k + 1 < len(parts) else ""
+            counts = self.ordinary(part + special[:-1])
+            out += [base + c for c in counts[1:]]
             if special:
-                out += [lead + self.count(before + part[:i]) for i in range(1, len(part))] + [base + 1]
-                base += 1
-                continue
-            lead, before = base, part
-            for unit in UNIT.findall(part):
-                pieces, at, done = SPLIT.findall(unit), 0, 0
-                for k, piece in enumerate(pieces):
-                    counts = self.piece(self.as_letters(piece))
-                    plain = piece[0] != "'" and not piece.isspace()
-                    byte = 0
-                    for i, c in enumerate(piece, 1):
-                        byte += len(c.encode("utf-8"))
-                        if plain or i == len(piece) and k + 1 == len(pieces):
-                            out.append(base + done + counts[byte - 1])
-                        else:
-                            out.append(base + sum(map(self.whole, SPLIT.findall(unit[: at + i]))))
-                    at += len(piece)
-                    done += counts[-1]
-                base += done
+                base += counts[len(part)] + 1
+                out.append(base)
         return np.array(out, dtype=np.int64)
 
     def truncate(self, text: str, budget: int) -> str:
@@ -212,3 +239,17 @@ def prefix_table(docs: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, counts array<long>")
+
+
+def budgets(docs: DataFrame, tokenizer: str, limits: tuple[int, ...] = (128, 1024)) -> DataFrame:
+    """doc_id, n_tokens and, for each limit, the code points of the longest prefix within it (within_<limit>), looked up among the counts of all prefixes."""
+    names = ["doc_id", "n_tokens", *(f"within_{n}" for n in limits)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 18):
+                found = [counter(tokenizer).prefixes(t) for t in text_array(batch.column("text")).to_pylist()]
+                cuts = [pa.array([int(np.flatnonzero(x <= n)[-1]) for x in found], pa.int64()) for n in limits]
+                yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array([int(x[-1]) for x in found], pa.int64()), *cuts], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
