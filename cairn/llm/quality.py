@@ -3,10 +3,12 @@
 Heuristic labellers each vote good, bad or nothing on a document.  Expectation-maximisation
 over the counts of all vote patterns of the corpus estimates how accurate each is and so the
 probability that a document of a pattern is good.  These posteriors label a bounded sample,
-on which a logistic scorer over hashed word shapes is trained; it scores every document.
+the SAMPLE distinct documents (by id and text) of the smallest hashes, on which a logistic
+scorer over hashed word shapes is trained; it scores every document.
 
 Cases: null or empty text, or text without words: score 0, rejected.  Null doc_ids and
-repeated rows are kept; extra columns are not read; an empty table gives no rows.
+repeated rows are kept; rows equal in id and text count as often as they occur in the
+patterns, and once in the sample; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ LABELLERS = [
     ("repeats", 0.08, 0.03),  # words that are the word before them
     ("marked", 0.15, 0.05),  # words with a byte that is neither letter, digit, common punctuation nor beyond ASCII
     ("echoes", 0.20, 0.10),  # words that begin a run of three words seen before in the text
+    ("lines", 0.30, None),  # characters of lines of eight or more that stood before in the text
+    ("links", 0.10, None),  # words that hold :// or begin with www.
+    ("numbers", 0.30, None),  # words without a letter
+    ("lengths", 0.15, None),  # words of more than 20 letters, or of one other than a, e, i, o, u, y
 ]
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 others beyond ASCII and lower case
 _CLASS[65:91] = 1
@@ -46,6 +52,9 @@ _CLASS[ord("!")] = 5
 _CLASS[ord("|")] = 6
 for _c in b"+/<=>@[\\]^_`{}~":
     _CLASS[_c] = 7
+_LETTER = np.arange(256) >= 128
+_LETTER[65:91] = _LETTER[97:123] = True
+_VOWEL = np.isin(np.arange(256), list(b"aeiouyAEIOUY"))
 
 
 def _counts(flags: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -81,9 +90,13 @@ def read(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         "repeats": same,
         "marked": odd > 0,
         "echoes": _echoes(hashes, of),
+        "links": _links(data, start, end),
+        "numbers": inside(_LETTER[data]) == 0,
+        "lengths": (length > 20) | ((length == 1) & ~_VOWEL[data[start]] & _LETTER[data[start]]),
     }
     n = np.diff(of)
-    shares = np.stack([_counts(flags[name], of) for name, _, _ in LABELLERS], axis=1) / np.maximum(n, 1)[:, None]
+    counts = [_lines(data, off) if name == "lines" else _counts(flags[name], of) / np.maximum(n, 1) for name, _, _ in LABELLERS]
+    shares = np.stack(counts, axis=1)
     shape = np.stack((first, last, before, np.minimum(length, 15), np.minimum(upper, 3), np.minimum(odd, 3), same.astype(np.int64), flags["echoes"].astype(np.int64)))
     code = np.zeros(len(start), dtype=np.uint64)
     for row in shape:
@@ -92,6 +105,34 @@ def read(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return n, shares, (code % U64(FEATURES)).astype(np.int64), of
 
 
+def _links(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word holds :// or begins with www."""
+    out = np.zeros(len(start), dtype=bool)
+    for mark, first in ((b"://", False), (b"www.", True)):
+        at = np.flatnonzero(data[: max(0, len(data) - len(mark) + 1)] == mark[0])
+        for k in range(1, len(mark)):
+            at = at[data[at + k] == mark[k]]
+        word = np.searchsorted(start, at, side="right") - 1
+        ok = (word >= 0) & (at + len(mark) <= end[np.maximum(word, 0)]) if len(start) else np.zeros(len(at), dtype=bool)
+        word, at = word[ok], at[ok]
+        out[word[start[word] == at] if first else word] = True
+    return out
+
+
+def _lines(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The share of each text's bytes that are in lines of eight or more bytes that stood before in it."""
+    out = np.zeros(len(off) - 1)
+    for i in np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(data == 10)))[off]) > 0):
+        text = data[off[i] : off[i + 1]].tobytes()
+        seen, again = set(), 0
+        for line in text.split(b"\n"):
+            if len(line) >= 8:
+                again += len(line) * (line in seen)
+                seen.add(line)
+        out[i] = again / len(text)
+    return out
+
+
 def _echoes(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     out = np.zeros(len(hashes), dtype=bool)
     if len(hashes) < 3:
@@ -110,7 +151,7 @@ def votes(n: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """ABSTAIN, BAD or GOOD by text and labeller."""
     out = np.zeros(shares.shape, dtype=np.int64)
     for k, (_, bad, good) in enumerate(LABELLERS):
-        out[:, k] = np.where(shares[:, k] >= bad, BAD, np.where(shares[:, k] <= good, GOOD, ABSTAIN))
+        out[:, k] = np.where(shares[:, k] >= bad, BAD, np.where(shares[:, k] <= (-1.0 if good is None else good), GOOD, ABSTAIN))
     out[n == 0] = ABSTAIN
     return out
 
@@ -130,6 +171,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     chance = np.empty((k, 2, 3))
     chance[:, 0] = [0.2, 0.4, 0.4]  # a bad document is bad in some respects only
     chance[:, 1] = [0.1, 0.02, 0.88]
+    silent = ~(patterns == GOOD).any(axis=0)  # labellers that never vote good
+    chance[silent, 0], chance[silent, 1] = [0.9, 0.09, 0.01], [0.9, 0.01, 0.09]  # silence tells nothing at first
     share, weight, post = PRIOR, counts.astype(np.float64), np.zeros(len(patterns))
     for _ in range(rounds):
         like = np.stack([np.log(chance[np.arange(k), c, patterns]).sum(axis=1) for c in (0, 1)], axis=1)
@@ -165,33 +208,38 @@ def pattern_votes(code: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """The scorer's weights.
 
-    Patterns are counted over all documents with words; about sample documents, those with the
-    smallest hashes of their ids, are collected as feature rows to train on.
+    Patterns are counted over all documents with words; the sample distinct documents of the smallest
+    hashes of id and text are read again as feature rows to train on.
     """
-    rows = docs.count()
-    bar = (1 << 32) if rows <= sample else int(sample / rows * (1 << 32))
-    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))
+    place = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                n, shares, code, of = read(*buffers(text_array(batch.column("text"))))
-                place = batch.column("place").to_numpy()
-                x = features(n, code, of).astype(np.float32)
-                kept = [r.tobytes() if p < bar and k else None for r, p, k in zip(x, place, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n > 0), pa.array(pattern_code(votes(n, shares)).astype(np.int64)), pa.array(kept, pa.binary())], ["place", "some", "pattern", "x"])
-
-    read_all = docs.select(place.alias("place"), "text").mapInArrow(run, "place long, some boolean, pattern long, x binary")
-    seen = materialize(read_all.filter("some"), "votes")
+                n, shares, _, _ = read(*buffers(text_array(batch.column("text"))))
+                yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(n > 0), pa.array(pattern_code(votes(n, shares)).astype(np.int64))], ["place", "some", "pattern"])
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                n, _, code, of = read(*buffers(text_array(batch.column("text"))))
+                yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array([r.tobytes() for r in features(n, code, of).astype(np.float32)], pa.binary())], ["place", "x"])
+
+    placed = docs.select(place.alias("place"), "text")
+    seen = materialize(placed.mapInArrow(vote, "place long, some boolean, pattern long").filter("some").drop("some"), "votes")
     counts = seen.groupBy("pattern").count().orderBy("pattern").toPandas()  # 3 ** len(LABELLERS) rows at most
     if not len(counts):
         return np.zeros(FEATURES + 1)
     code = counts["pattern"].to_numpy(dtype=np.int64)
     posterior, _, _ = expectation_maximisation(pattern_votes(code), counts["count"].to_numpy())
     known = dict(zip(code.tolist(), posterior.tolist()))
-    learnt = seen.filter("x is not null").orderBy("place", "pattern", "x").limit(2 * sample).select("pattern", "x").toPandas()
-    x = np.stack([np.frombuffer(r, dtype=np.float32) for r in learnt["x"]]) if len(learnt) else np.zeros((0, FEATURES))
-    return fit_scorer(x.astype(np.float64), np.array([known[p] for p in learnt["pattern"].tolist()]))
+    drawn = seen.groupBy("place").agg(F.min("pattern").alias("pattern")).orderBy("place").limit(sample).toPandas()
+    label = dict(zip(drawn["place"].tolist(), (known[p] for p in drawn["pattern"].tolist())))
+    wanted = placed.filter(F.col("place") <= F.lit(int(drawn["place"].max()))).filter(F.col("text").isNotNull()).dropDuplicates(["place"])
+    learnt = wanted.mapInArrow(shape, "place long, x binary").toPandas().sort_values("place")  # some sample rows
+    learnt = learnt[learnt["place"].isin(label)]
+    x = np.stack([np.frombuffer(r, dtype=np.float32) for r in learnt["x"]])
+    return fit_scorer(x.astype(np.float64), np.array([label[p] for p in learnt["place"].tolist()]))
 
 
 def score_texts(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
