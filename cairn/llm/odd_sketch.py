@@ -40,7 +40,7 @@ BITS = 512
 #: Share of the pairs at the threshold that the sketches may lose.
 LOST = 1e-9
 #: Classes, and shingles, in one block of an area; rows of small buckets or areas that one group holds.
-BLOCK_DOCS, BLOCK_SHINGLES, BIN = 512, 400_000, 20_000
+BLOCK_DOCS, BLOCK_SHINGLES, BIN = 512, 400_000, 2_000
 _rng = np.random.default_rng(20240607)
 MULTIPLIERS = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 SALTS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -206,20 +206,24 @@ def similar_pairs(run: np.ndarray, apart: np.ndarray, block: np.ndarray, size: n
     return np.array(found, dtype=np.int64).reshape(-1, 2)
 
 
-def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of one sorted set with others."""
-    flat = np.concatenate(others)
-    at = np.searchsorted(one, flat)
-    at[at == len(one)] = 0
-    ends = np.cumsum([len(o) for o in others])
-    return np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate(([0], ends[:-1])))
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, over the members that at least two of them have."""
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    value, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(many > 1) - 1
+    shared = (many > 1)[at]
+    at, row = place[at[shared]], row[shared]
+    out = np.zeros((len(sets), max(1, (int((many > 1).sum()) + 63) // 64)), dtype=np.uint64)
+    np.bitwise_or.at(out, (row, at >> 6), U64(1) << (at & 63).astype(np.uint64))
+    return out
 
 
-def links_among(ids: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], num: int, den: int, most: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links_among(ids: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], num: int, den: int, most: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A forest of the links between the rows, less what equal labels, if given, connect already.
 
     Every pair that the sketches leave possible is compared on the full sets, unless
-    links found before already connect it.
+    links found before already connect it.  With side, rows of side 1 are compared with those of
+    side 2, and with those of side 0 whose ids are smaller, and no others.
     """
     n = len(ids)
     forest, size, links = Forest(n), np.array([len(s) for s in sets]), []
@@ -228,22 +232,29 @@ def links_among(ids: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], num
             _, first, of = np.unique(same, return_index=True, return_inverse=True)
             for i, j in enumerate(first[of.ravel()].tolist()):
                 forest.join(i, j)
+    bits = bitmaps(sets)
     for i in range(n):
-        other = np.arange(i + 1, n)
+        if side is None:
+            other = np.arange(i + 1, n)
+        elif side[i] == 1:
+            other = np.flatnonzero((side == 2) | ((side == 0) & (ids < ids[i])))
+        else:
+            continue
         other = other[np.minimum(size[other], size[i]) * den >= num * np.maximum(size[other], size[i])]
         if not len(other):
             continue
         differing = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         order = np.argsort(differing, kind="stable")
         other = other[order][: int(np.searchsorted(differing[order], most, side="right"))]
-        step = 1
+        step, name, named = 1, forest.names(), len(links)
         while len(other):
-            mine = forest.find(i)
-            other = other[[forest.find(j) != mine for j in other.tolist()]]
-            if not len(other):
-                break
+            if len(links) > named:
+                name, named = forest.names(), len(links)
+            other = other[name[other] != name[i]]
             now, other = other[:step], other[step:]
-            common = _common(sets[i], [sets[j] for j in now])
+            if not len(now):
+                break
+            common = np.bitwise_count(bits[now] & bits[i]).sum(axis=1, dtype=np.int64)
             links += [(int(ids[i]), int(ids[j])) for j in now[common * den >= num * (size[now] + size[i] - common)] if forest.join(i, int(j))]
             step *= 4
     return links
@@ -287,7 +298,7 @@ def _alike(classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _linked(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): forests of the links in each (g, run) of members (g, run, cls, sketch, shingles, label or none)."""
+    """(a, b): forests of the links in each (g, run) of members (g, run, cls, sketch, shingles; label and side or neither)."""
     most = most_differing(num / den)
     labelled = "label" in members.columns
 
@@ -297,7 +308,8 @@ def _linked(members: DataFrame, num: int, den: int) -> DataFrame:
         for some in np.split(np.arange(len(run)), np.flatnonzero(run[1:] != run[:-1]) + 1):
             part = rows.slice(int(some[0]), len(some))
             sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("shingles").to_pylist()]
-            found += links_among(part.column("cls").to_numpy(), _sketches(part), sets, num, den, most, part.column("label").to_numpy() if labelled else None)
+            more = [part.column(c).to_numpy() for c in ("label", "side")] if labelled else []
+            found += links_among(part.column("cls").to_numpy(), _sketches(part), sets, num, den, most, *more)
         return found
 
     return members.groupBy("g").applyInArrow(_by_group(compare), "a long, b long")
@@ -351,7 +363,9 @@ def _compare_areas(docs: DataFrame, classes: DataFrame, alike: DataFrame, num: i
     open_ = skew_join(open_, rooms, ["area"], "n_rows", n_near).select("cls", "area", "label", "minor", "parts", "chunks").join(held.select("cls", "sketch", "shingles"), "cls")
     everyone = open_.withColumn("p", F.pmod(F.xxhash64("cls"), "parts").cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     again = open_.filter("minor").withColumn("c", F.pmod(F.xxhash64("cls", F.lit(1)), "chunks").cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = [x.select(F.xxhash64("area", "p", "c").alias("g"), F.col("area").alias("run"), "cls", "label", "sketch", "shingles") for x in (everyone, again)]
+    # a small part's rows meet those of the largest, and of two of small parts the larger number meets the smaller
+    everyone = everyone.withColumn("side", F.when(F.col("minor"), 0).otherwise(2))
+    rows = [x.select(F.xxhash64("area", "p", "c").alias("g"), F.col("area").alias("run"), "cls", "label", "side", "sketch", "shingles") for x in (everyone, again.withColumn("side", F.lit(1)))]
     return first.unionByName(_linked(rows[0].unionByName(rows[1]), num, den))
 
 
