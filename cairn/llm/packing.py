@@ -4,7 +4,12 @@ Documents follow each other by doc_id.  Cuts between windows are chosen by
 dynamic programming: cost is padding plus a penalty for a cut inside a document,
 smaller at a sentence end than elsewhere.  With f(j) the least cost of what ends
 at cut j, f(j) = penalty(j) + capacity - j + min over i in [j - capacity, j) of
-(f(i) + i): a sliding minimum, kept in a monotone queue.
+(f(i) + i): a sliding minimum, kept in a monotone queue.  The queue's state goes on from one
+stretch of tokens to the next.  Whatever comes later, the best plan runs through one of the
+queue's cuts; as far as the plans to all of these agree, windows are given out and forgotten.
+What is held is the part on which the queue's plans still differ; once that is HELD tokens, the
+plan to the cheapest of its cuts is taken, which may cost a few tokens more than the least.
+Up to HELD tokens the cost is the least.  Each task ends with a window that may be short.
 
 Cases: null or empty text: its end id alone.  Null doc_ids come first.  Repeated
 rows are packed as often as they occur.  Extra columns are not read.  An empty
@@ -14,6 +19,7 @@ table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -29,45 +35,91 @@ CAPACITY = 4096
 SENTENCE_PENALTY, INNER_PENALTY = 4.0, 16.0
 #: Where sentences are longer than this, cuts may fall inside them at its multiples.
 STRIDE = 64
-#: Tokens that are planned at a time; what the last window of a plan holds starts the next plan.
-PLANNED = 1 << 19
+#: Tokens that are read before windows are given out; tokens without windows at most, which bounds memory.
+STRETCH, HELD = 1 << 17, 1 << 22
 
 
-def window_cuts(cuts: np.ndarray, penalty: np.ndarray, capacity: int) -> list[int]:
-    """Indices into cuts (ascending, from 0, no gap over capacity) of the window ends that cost least.
+class Windows:
+    """Window ends that cost least, for cuts that come in turn.
 
-    The cost of a window from cut i to cut j is capacity - (j - i) plus penalty of j;
-    the last cut is always a window's end and free.
+    The cost of a window from cut i to cut j is capacity - (j - i) plus the penalty of j.
     """
-    n = len(cuts)
-    best, come = [0.0] * n, [0] * n
-    at, fee = cuts.tolist(), penalty.tolist()
-    fee[-1] = 0.0
-    queue: deque[tuple[float, int]] = deque([(float(at[0]), 0)])
-    for j in range(1, n):
-        here = at[j]
-        while at[queue[0][1]] < here - capacity:
-            queue.popleft()
-        low, i = queue[0]
-        best[j] = value = low + capacity - here + fee[j]
-        come[j] = i
-        value += here
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j))
-    out, j = [], n - 1
-    while j:
-        out.append(j)
-        j = come[j]
-    return out[::-1]
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.at, self.come, self.fee, self.first = array("q", [0]), array("q", [0]), array("d", [0.0]), 0  # places, best predecessors and penalties of the cuts from number first on
+        self.queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+
+    def add(self, cuts: np.ndarray, penalty: np.ndarray) -> None:
+        """Further cuts, ascending and with no gap over capacity."""
+        at, come, queue, capacity, first = self.at, self.come, self.queue, self.capacity, self.first
+        self.fee.extend(penalty.tolist())
+        for here, fee in zip(cuts.tolist(), penalty.tolist()):
+            while at[queue[0][1] - first] < here - capacity:
+                queue.popleft()
+            low, i = queue[0]
+            value = low + capacity + fee  # f(j) + j
+            while queue and queue[-1][0] >= value:
+                queue.pop()
+            queue.append((value, first + len(at)))
+            at.append(here)
+            come.append(i)
+
+    def _path(self, end: int) -> list[int]:
+        out, first = [], self.first
+        while end > first:
+            out.append(self.at[end - first])
+            end = self.come[end - first]
+        return out[::-1]
+
+    def agreed(self) -> list[int]:
+        """Window ends that every plan through the queue has in common; they are forgotten but for the last."""
+        heads = {i for _, i in self.queue}
+        while len(heads) > 1:
+            last = max(heads)
+            heads.remove(last)
+            heads.add(self.come[last - self.first])
+        root = heads.pop()
+        return self._forget(root)
+
+    def cheapest(self) -> list[int]:
+        """The window ends of the plan to the queue's cheapest cut; what follows it is planned again."""
+        root = min(self.queue, key=lambda x: x[0] - self.at[x[1] - self.first])[1]
+        out = self._forget(root)
+        later, fee = np.array(self.at[1:], dtype=np.int64), np.array(self.fee[1:])
+        del self.at[1:], self.come[1:], self.fee[1:]
+        self.queue = deque([(float(self.at[0]), root)])
+        self.add(later, fee)
+        return out
+
+    def held(self) -> int:
+        """Tokens between the first and the last cut."""
+        return self.at[-1] - self.at[0]
+
+    def _forget(self, root: int) -> list[int]:
+        out, skip = self._path(root), root - self.first
+        del self.at[:skip], self.come[:skip], self.fee[:skip]
+        self.first = root
+        return out
+
+    def rest(self) -> list[int]:
+        """The remaining window ends, the last cut being one."""
+        return self._path(self.first + len(self.at) - 1)
+
+
+def window_cuts(cuts: np.ndarray, penalty: np.ndarray, capacity: int) -> list[int]:
+    """Indices into cuts (ascending, from 0) of the window ends that cost least, the last being one and free."""
+    plan = Windows(capacity)
+    plan.add(cuts[1:], penalty[1:])
+    return np.searchsorted(cuts, plan.rest()).tolist()
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Places where windows may end, with their penalties: document ends (free), sentence ends, and fill between far ones."""
+    """0 and the places where windows may end, with their penalties: document ends (free), sentence ends, and fill between far ones."""
     kind = np.full(len(ids) + 1, -1, dtype=np.int8)
+    kind[[0, len(ids)]] = 2
     kind[np.flatnonzero(stops[np.minimum(ids, len(stops) - 1)]) + 1] = 1
     kind[ends] = 0
-    kind[[0, len(ids)]] = 0
     cuts = np.flatnonzero(kind >= 0)
     gaps = np.diff(cuts)
     wide = np.flatnonzero(gaps > stride)
@@ -81,49 +133,48 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, stride: int
 class Packer:
     """Takes documents in order, gives pieces (document, start, length, crc32, tokens, window, offset)."""
 
-    def __init__(self, stops: np.ndarray, capacity: int = CAPACITY, planned: int = PLANNED):
-        self.stops, self.capacity, self.planned = stops, capacity, max(planned, 4 * capacity)
-        self.docs: list[tuple[object, int, np.ndarray, int]] = []  # id, start of the part, the part's ids, tokens of the document
-        self.held, self.window = 0, 0
+    def __init__(self, stops: np.ndarray, capacity: int = CAPACITY, stretch: int = STRETCH, most: int = HELD):
+        self.stops, self.stretch, self.plan, self.most = stops, max(stretch, capacity), Windows(capacity), most
+        self.parts: deque[tuple[object, int, np.ndarray, int, int]] = deque()  # document, start of the part, its ids, tokens of the document, place of the part
+        self.fresh: list[tuple[np.ndarray, bool]] = []  # ids without cuts yet, and whether a document ends with them
+        self.end, self.cut, self.begin, self.window = 0, 0, 0, 0
 
     def add(self, doc: object, ids: np.ndarray) -> Iterator[tuple]:
-        for at in range(0, len(ids), self.planned):
-            part = ids[at : at + self.planned]
-            self.docs.append((doc, at, part, len(ids)))
-            self.held += len(part)
-            if self.held >= self.planned:
-                yield from self._plan(False)
+        for at in range(0, len(ids), self.stretch):
+            part = ids[at : at + self.stretch]
+            self.parts.append((doc, at, part, len(ids), self.end))
+            self.fresh.append((part, at + len(part) == len(ids)))
+            self.end += len(part)
+            if self.end - self.cut >= self.stretch:
+                self._cut()
+                yield from self._give(self.plan.agreed())
+                if self.plan.held() > self.most:
+                    yield from self._give(self.plan.cheapest())
 
     def finish(self) -> Iterator[tuple]:
-        yield from self._plan(True)
-
-    def _plan(self, last: bool) -> Iterator[tuple]:
-        if not self.docs:
-            return
-        flat = np.concatenate([x[2] for x in self.docs])
-        bounds = np.cumsum([len(x[2]) for x in self.docs])
-        whole = np.array([x[1] + len(x[2]) == x[3] for x in self.docs])
-        cuts, penalty = cut_points(flat, bounds[whole], self.stops)
-        ends = cuts[window_cuts(cuts, penalty, self.capacity)]
-        if not last:
-            ends = ends[:-1]
-        d, begin, rest = 0, 0, []
-        for end in ends.tolist():
-            at = begin
+        if self.end:
+            self._cut()
+            yield from self._give(self.plan.rest())
+
+    def _cut(self) -> None:
+        if self.fresh:
+            bounds = np.cumsum([len(x) for x, _ in self.fresh])
+            cuts, penalty = cut_points(np.concatenate([x for x, _ in self.fresh]), bounds[[whole for _, whole in self.fresh]], self.stops)
+            self.plan.add(cuts[1:] + self.cut, penalty[1:])
+            self.fresh, self.cut = [], self.end
+
+    def _give(self, ends: list[int]) -> Iterator[tuple]:
+        for end in ends:
+            at = self.begin
             while at < end:
-                doc, start, ids, tokens = self.docs[d]
-                left = bounds[d] - len(ids)
-                to = min(end, int(bounds[d]))
-                yield doc, start + at - int(left), to - at, zlib.crc32(flat[at:to].astype("<u4").tobytes()), tokens, self.window, at - begin
+                doc, start, ids, tokens, place = self.parts[0]
+                to = min(end, place + len(ids))
+                yield doc, start + at - place, to - at, zlib.crc32(ids[at - place : to - place].astype("<u4").tobytes()), tokens, self.window, at - self.begin
                 at = to
-                d += to == bounds[d]
-            begin = end
+                if to == place + len(ids):
+                    self.parts.popleft()
+            self.begin = end
             self.window += 1
-        for x in range(d, len(self.docs)):
-            doc, start, ids, tokens = self.docs[x]
-            skip = max(0, begin - int(bounds[x] - len(ids)))
-            rest.append((doc, start + skip, ids[skip:], tokens))
-        self.docs, self.held = rest, sum(len(x[2]) for x in rest)
 
 
 def in_order(docs: DataFrame, content: str = "text") -> DataFrame:
