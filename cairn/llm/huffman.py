@@ -6,8 +6,12 @@ and the bit offset of every CHECKPOINT-th id, from which decoding can start; a
 table beside it holds the code lengths.  Decoding runs all checkpoints of a block
 side by side through one lookup table.
 
+Codes have up to LIMIT bits, or as many as it takes to tell all ids that occur apart.
+
 Cases: null or empty text: the end id alone.  Null doc_ids come first.  Repeated
 rows are kept.  Extra columns are not read.  An empty table gives empty files.
+A text whose ids alone exceed the 2 GB that a value may have is refused by an error:
+it has over 500 million ids, or over a billion with vocabularies of up to 65,536.
 """
 
 from __future__ import annotations
@@ -33,14 +37,13 @@ BLOCK_IDS = 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most limit bits by package-merge; 0 for ids that do not occur."""
+    """Optimal code lengths of at most limit bits (more where the ids that occur need them) by package-merge; 0 for ids that do not occur."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), dtype=np.uint8)
     if len(used) < 2:
         out[used] = 1
         return out
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids do not fit codes of {limit} bits")
+    limit = max(limit, int(len(used) - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     leaf = counts[order].astype(np.int64)
     levels, merged = [], np.zeros(0, dtype=np.int64)
@@ -84,7 +87,7 @@ class Code:
         at = end - size
         words = int(end[-1] + 31) // 32 if len(ids) else 0
         slot = at >> 5
-        wide = self.codes[ids] << (64 - size - (at & 31))  # at most 16 + 31 bits from the top
+        wide = self.codes[ids] << (64 - size - (at & 31))  # size + 31 bits at most from the top
         high, low = (wide >> 32) & 0xFFFFFFFF, wide & 0xFFFFFFFF
         # codes do not overlap, so sums are unions of bits; all below 2**32 and exact
         bits = np.bincount(slot, weights=high, minlength=words + 1) + np.concatenate(([0.0], np.bincount(slot, weights=low, minlength=words + 1)[:-1]))
@@ -131,12 +134,20 @@ def id_counts(encoded: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents; at most one row per id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 17, dtype=np.int64)
+        total = np.zeros(0, dtype=np.int64)
+
+        def add(ids: np.ndarray) -> None:
+            nonlocal total
+            more = np.bincount(ids, minlength=len(total))
+            more[: len(total)] += total
+            total = more
+
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype=kind), minlength=len(total)) if len(x.as_buffer()) > 1 << 16 else 0
-            small = [x.as_buffer() for x in batch.column("ids") if len(x.as_buffer()) <= 1 << 16]
-            total += np.bincount(np.frombuffer(b"".join(small), dtype=kind), minlength=len(total))
+            raw = [x.as_buffer() for x in batch.column("ids")]
+            for x in raw:
+                if len(x) > 1 << 16:
+                    add(np.frombuffer(x, dtype=kind))
+            add(np.frombuffer(b"".join(x for x in raw if len(x) <= 1 << 16), dtype=kind))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
