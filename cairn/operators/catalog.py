@@ -21,9 +21,10 @@ def blob_ids(files: DataFrame, order: str = "file_id") -> DataFrame:
     return numbered(first.select("hash", "x.first", "x.size"), [F.col("first").asc()], "blob_id")
 
 
-def with_blobs(files: DataFrame, order: str = "file_id") -> DataFrame:
-    """files with blob_id and new_blob (the first file of its content)."""
-    return files.join(blob_ids(files, order).select("hash", "first", "blob_id"), "hash").withColumn("new_blob", F.col(order) == F.col("first")).drop("first")
+def with_blobs(files: DataFrame, order: str = "file_id", blobs: DataFrame | None = None) -> DataFrame:
+    """files with blob_id and new_blob (the first file of its content); blobs is blob_ids of them, if it is known."""
+    blobs = blob_ids(files, order) if blobs is None else blobs
+    return files.join(blobs.select("hash", "first", "blob_id"), "hash").withColumn("new_blob", F.col(order) == F.col("first")).drop("first")
 
 
 def directories(files: DataFrame, root: str = "") -> DataFrame:
@@ -46,23 +47,31 @@ def subtree(dirs: DataFrame, path: str) -> DataFrame:
     return dirs.filter((F.col("path") == path) | F.startswith("path", F.lit(path + "/" if path else "")))
 
 
+def subtree_files(files: DataFrame, path: str, breadth_first: bool = False) -> DataFrame:
+    """files at and below path with place, from 1: folder by folder in pre-order, or level by level; a folder's own files by path."""
+    below = files.filter(F.startswith("path", F.lit(path + "/" if path else "")))
+    folder = F.split(parent(F.col("path")), "/")
+    keys = [folder.asc(), F.col("path").asc()]
+    return numbered(below, [F.size(folder).asc(), *keys] if breadth_first else keys, "place")
+
+
 def subtree_totals(files: DataFrame) -> DataFrame:
     """(path, n_files, n_bytes) of every directory, all levels below it counted."""
     every = files.select(F.explode(F.array_union(F.array(F.lit("")), ancestors(F.col("path")))).alias("path"), "size")
     return every.groupBy("path").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"))
 
 
-def catalogue(files: DataFrame, root: str = "") -> dict[str, DataFrame]:
-    """directories, files and blobs from files numbered in write order (path, size, hash, mime, file_id)."""
-    dirs = directory_ids(files, root)
-    placed = with_blobs(files).withColumn("_dir", parent(F.col("path")))
+def catalogue(files: DataFrame, root: str = "", blobs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """directories, files and blobs from files numbered in write order (path, size, hash, mime, file_id); blobs is blob_ids of them, if it is known."""
+    dirs, blobs = directory_ids(files, root), blob_ids(files) if blobs is None else blobs
+    placed = with_blobs(files, blobs=blobs).withColumn("_dir", parent(F.col("path")))
     ids = dirs.select(F.col("path").alias("_at"), F.col("id").alias("directory_id"))
     name = file_name(F.col("path"))
     rows = placed.join(ids, F.col("_dir") == F.col("_at")).select(F.col("file_id").alias("id"), stem(name).alias("name"), F.coalesce("mime", F.lit(classify.DEFAULT)).alias("mime"), name_extension(name).alias("extension"), "blob_id", "directory_id")
     return {
         "directories": dirs.select("id", "name", "parent_id"),
         "files": rows,
-        "blobs": blob_ids(files).select(F.col("blob_id").alias("id"), "size", F.unhex("hash").alias("hash")),
+        "blobs": blobs.select(F.col("blob_id").alias("id"), "size", F.unhex("hash").alias("hash")),
     }
 
 
