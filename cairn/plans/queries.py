@@ -153,7 +153,29 @@ def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalogue(_placed(spark, sf_dir))["files"]
 
 
-@query("SELECT unnest(['blobs hash', 'blobs id', 'directories id', 'directories parent_id name', 'directory parent', 'file blob', 'file directory', 'files directory_id name extension', 'files id']) AS \"check\", CAST(0 AS BIGINT) AS violations")
+#: Tables full of violations, made of the documents.
+_BROKEN = """d AS (SELECT n_chars AS id, lang AS name, CASE WHEN doc_id > 3 THEN n_chars + doc_id END AS parent_id FROM documents),
+f AS (SELECT doc_id + n_chars AS id, lang AS name, source AS extension, n_chars * 2 AS blob_id, doc_id AS directory_id FROM documents),
+b AS (SELECT doc_id AS id, sha256(lang || source || (n_chars // 100)) AS hash FROM documents)"""
+_KEYS = [("directories id", "d", "id"), ("directories parent_id name", "d", "parent_id, name"), ("files id", "f", "id"), ("files directory_id name extension", "f", "directory_id, name, extension"), ("blobs id", "b", "id"), ("blobs hash", "b", "hash")]
+_LINKS = [("directory parent", "d", "parent_id", "d"), ("file blob", "f", "blob_id", "b"), ("file directory", "f", "directory_id", "d")]
+_CHECKS = " UNION ALL ".join([f"SELECT '{name}' AS \"check\", CAST(count(*) AS BIGINT) AS violations FROM (SELECT 1 FROM {t} GROUP BY {k} HAVING count(*) > 1)" for name, t, k in _KEYS] + [f"SELECT '{name}', CAST(count(*) AS BIGINT) FROM {t} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT id FROM {to})" for name, t, k, to in _LINKS])
+
+
+@query(f"WITH {_BROKEN} {_CHECKS}")
+def catalog_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return catalog.checks({
+        "directories": docs.select(F.col("n_chars").alias("id"), F.col("lang").alias("name"), F.when(F.col("doc_id") > 3, F.col("n_chars") + F.col("doc_id")).alias("parent_id")),
+        "files": docs.select((F.col("doc_id") + F.col("n_chars")).alias("id"), F.col("lang").alias("name"), F.col("source").alias("extension"), (F.col("n_chars") * 2).alias("blob_id"), F.col("doc_id").alias("directory_id")),
+        "blobs": docs.select(F.col("doc_id").alias("id"), F.sha2(F.concat("lang", "source", F.expr("n_chars div 100").cast("string")), 256).alias("hash")),
+    })
+
+
+@query(f"""WITH {_DIRS}, {_NUMBERED.removeprefix(_FILES + ', ')},
+d AS (SELECT a.id, a.name, b.id AS parent_id FROM ided a LEFT JOIN ided b ON a.parent_path = b.path),
+f AS (SELECT p.file_id AS id, regexp_extract(p.path, '([^/.]*)[.][^/.]*$', 1) AS name, 'txt' AS extension, blobs.blob_id, ided.id AS directory_id FROM placed p JOIN blobs USING (hash) JOIN ided ON ided.path = regexp_extract(p.path, '^(.*)/[^/]*$', 1)),
+b AS (SELECT blob_id AS id, hash FROM blobs) {_CHECKS}""")
 def catalog_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.checks(catalog.catalogue(_placed(spark, sf_dir)))
 
@@ -185,10 +207,11 @@ def human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_files(spark, sf_dir).select("path", content.size_value(F.col("size")).alias("value"), unit.alias("unit"))
 
 
-@query(f"WITH {_NUMBERED} SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS sniffed, CAST(0 AS BIGINT) AS failed FROM placed")
+@query(f"WITH {_PAGES} SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(count(*) FILTER (WHERE by_name IS NULL) AS BIGINT) AS sniffed, CAST(count(*) FILTER (WHERE size > 3000) AS BIGINT) AS failed FROM typed")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters observed while the numbered files are written."""
-    files, seen = report.observed(_placed(spark, sf_dir), "files")
+    """Counters observed while the pages are written; contents of over 3,000 bytes count as unreadable here."""
+    pages = classify.with_name_type(page_files(spark, sf_dir)).withColumn("sniffed", F.col("by_name").isNull())
+    files, seen = report.observed(pages.withColumn("hash", F.when(F.col("size") <= 3000, F.col("hash"))).drop("content"), "files")
     settle(files, "counted")
     got = seen.get
     return spark.createDataFrame([tuple(int(got[k]) for k in ("files", "bytes", "sniffed", "failed"))], "files long, bytes long, sniffed long, failed long")
@@ -199,3 +222,75 @@ def roots_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_files(spark, sf_dir).select(F.lit("documents").alias("root"), "path", "size")
     every = docs.unionByName(page_files(spark, sf_dir).select(F.lit("pages").alias("root"), "path", "size"))
     return every.groupBy("root").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"))
+
+
+@query(f"""WITH {_PAGES} SELECT page_id, ends_with(path, '/') AS is_directory, replace(path, '/', chr(92)) AS backward, path AS forward, sha256(html) AS digest,
+  contains(path, '.example.') AS plain, CASE WHEN size > 1048576 THEN format('{{:.2f}} MB', size / 1048576.0) WHEN size > 1024 THEN format('{{:.2f}} KB', size / 1024.0) ELSE format('{{:.2f}}  B', CAST(size AS DOUBLE)) END AS human FROM typed""")
+def path_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory test, separators, hex, quoted characters and readable sizes."""
+    back = F.translate("path", "/", "\\")
+    quoted = "".join(map(rules.quoted, ".example."))
+    return page_files(spark, sf_dir).select("page_id", paths.is_directory(back).alias("is_directory"), back.alias("backward"), paths.slashed(back).alias("forward"), content.as_hex(F.unhex("hash")).alias("digest"), F.col("path").rlike(quoted).alias("plain"), content.human_size(F.col("size")).alias("human"))
+
+
+#: Globs, and what they are as expressions, for documents' paths.
+GLOBS = {"src[1-3]/**": "src[1-3]/.*$", "e?/*[!5-9].txt": "e[^/]/[^/]*[^5-9][.]txt$", "[d-f]?/[1-4]*": "[d-f][^/]/[1-4][^/]*$", "**/1?.txt": ".*/1[^/][.]txt$"}
+
+
+@query(f"WITH {_FILES} " + " UNION ALL ".join(f"SELECT '{g}' AS rule, path FROM files WHERE regexp_matches(path, '{rx}')" for g, rx in GLOBS.items()))
+def ignore_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of some globs matches."""
+    known = F.array(*[F.struct(F.lit(g).alias("rule"), F.lit(rules.parse_lines([g], "")[0][0].rx).alias("rx")) for g in GLOBS])
+    return document_files(spark, sf_dir).select("path", F.inline(known)).filter("path rlike rx").select("rule", "path")
+
+
+@query("SELECT CASE source WHEN 'src1' THEN 'c:/System Volume Information/' WHEN 'src2' THEN 'c:/$RECYCLE.BIN/x/' WHEN 'src3' THEN 'c:/x/$RECYCLE.BIN/' ELSE 'c:/x/' END || CAST(doc_id AS VARCHAR) AS path FROM documents WHERE source NOT IN ('src1', 'src2')")
+def system_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System folders at the top of a drive are left out, others of their names are not."""
+    folder = F.when(F.col("source") == "src1", "c:/System Volume Information/").when(F.col("source") == "src2", "c:/$RECYCLE.BIN/x/").when(F.col("source") == "src3", "c:/x/$RECYCLE.BIN/").otherwise("c:/x/")
+    files = read(spark, sf_dir, "documents").select(F.concat(folder, F.col("doc_id").cast("string")).alias("path"))
+    dirs = files.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+    every = files.withColumn("is_dir", F.lit(False)).unionByName(dirs.withColumn("is_dir", F.lit(True)))
+    return rules.tracked(every, rules.rules_frame(spark, []), windows=True).filter("not is_dir").select("path")
+
+
+@query("SELECT lang AS mime, array_to_string(list_sort(list(DISTINCT source)), ',') AS categories FROM documents GROUP BY lang")
+def category_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = read(spark, sf_dir, "documents").select(F.col("lang").alias("mime"), F.col("source").alias("category"))
+    return classify.category_union(pairs).select("mime", F.array_join("categories", ",").alias("categories"))
+
+
+def _subtree_sql(order: str) -> str:
+    return f"WITH {_FILES} SELECT path, row_number() OVER (ORDER BY {order}string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), path) AS place FROM (SELECT 'a/' || path AS path FROM files UNION ALL SELECT 'a/' || regexp_extract(path, '([^/]*)$', 1) FROM files)"
+
+
+def _two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document files below a and, under their names alone, in a itself."""
+    files = document_files(spark, sf_dir).select("path")
+    return files.select(F.concat(F.lit("a/"), "path").alias("path")).unionByName(files.select(F.concat(F.lit("a/"), paths.file_name(F.col("path"))).alias("path")))
+
+
+@query(_subtree_sql(""))
+def subtree_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.subtree_files(_two_levels(spark, sf_dir), "a").select("path", "place")
+
+
+@query(_subtree_sql("len(string_split(path, '/')), "))
+def subtree_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.subtree_files(_two_levels(spark, sf_dir), "a", breadth_first=True).select("path", "place")
+
+
+#: Heads of files, as hex, and their types, for content_types.
+HEADS = [
+    ("89504e470d0a1a0a", "image/png"), ("ffd8ffe0", "image/jpeg"), ("52494646000000005745425000", "image/webp"), ("000000186674797069736f6d", "video/mp4"), ("000000146674797071742020", "video/quicktime"), ("1a45dfa3010000007765626d", "video/webm"), ("1a45dfa301", "video/x-matroska"), ("255044462d312e37", "application/pdf"),
+    ("504b0304140000000000776f72642f", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("504b0304140000000000", "application/zip"), ("1f8b08", "application/gzip"), ("28b52ffd", "application/zstd"), ("7f454c46", "application/x-elf"), ("cafebabe", "application/java-vm"), ("0061736d01", "application/wasm"), ("774f4646", "font/woff"), ("774f4632", "font/woff2"), ("49492a00", "image/tiff"), ("00000100", "image/vnd.microsoft.icon"), ("424d1234567800000000", "image/bmp"),
+]
+
+
+@query("SELECT mime, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents, (VALUES " + ", ".join(f"('{m}')" for _, m in HEADS) + ") AS t(mime) GROUP BY mime")
+def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after every head: the types told by content."""
+    heads = F.array(*[F.unhex(F.lit(h)) for h, _ in HEADS])
+    files = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"), F.explode(heads).alias("head"))
+    told = files.select("doc_id", classify.by_content(F.concat("head", "text")).alias("mime"))
+    return told.groupBy("mime").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
