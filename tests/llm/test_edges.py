@@ -84,6 +84,7 @@ def test_vectors(spark):
     got = {x["vec_id"]: x for x in hnsw.near_vectors(vectors(spark, VECTORS)).collect()}
     assert (got[1]["n_links"], got[1]["component_id"], got[2]["component_id"], got[100]["component_id"]) == (3, 1, 1, 1)
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (3, 4, 5, 6, 7, 8, 9))
+    assert got[100]["n_links"] == 3  # each of the two rows is a vector of its own
     assert got[None]["component_id"] is None
     top = topk.top_k(vectors(spark, VECTORS)).orderBy("rank").collect()
     assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in top if x["rank"] <= 2} == {(100, 1, 1, 1 << 20), (100, 2, 2, 1024 * 1013)}
