@@ -39,8 +39,10 @@ SAMPLES = 250
 BITS = 512
 #: Share of the pairs at the threshold that the sketches may lose.
 LOST = 1e-9
-#: Classes, and shingles, in one block of an area; rows of small buckets or areas that one group holds.
-BLOCK_DOCS, BLOCK_SHINGLES, BIN = 512, 400_000, 2_000
+#: Classes, and shingles, in one block of an area.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+#: Rows of small buckets, and shingles of small areas, that one group holds, about.
+BIN, BIN_SHINGLES = 2_000, 40_000
 _rng = np.random.default_rng(20240607)
 MULTIPLIERS = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 SALTS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -336,7 +338,7 @@ def _compare_areas(docs: DataFrame, classes: DataFrame, alike: DataFrame, num: i
     held = skew_join(members, sizes.select("area", "parts", "n_rows"), ["area"], "n_rows", n_near)
     held = materialize(held.join(_sets(texts), ["k1", "k2"]).drop("k1", "k2"), "sets")
     shingles, big = sizes.agg(F.sum("n_all"), F.count_if(F.col("parts") > 1)).first()
-    few = held.filter("parts = 1").withColumn("g", F.pmod(F.xxhash64("area"), F.lit(1 + (shingles or 0) // BLOCK_SHINGLES))).withColumn("run", F.col("area"))
+    few = held.filter("parts = 1").withColumn("g", F.pmod(F.xxhash64("area"), F.lit(1 + (shingles or 0) // BIN_SHINGLES))).withColumn("run", F.col("area"))
     first = _linked(few.select("g", "run", "cls", "sketch", "shingles"), num, den)
     if not big:
         return first
