@@ -62,8 +62,8 @@ def _counts(flags: np.ndarray, of: np.ndarray) -> np.ndarray:
     return total[of[1:]] - total[of[:-1]]
 
 
-def read(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, shares of the labellers' statistics, and the hashed shape of each word with the words' offsets."""
+def read(data: np.ndarray, off: np.ndarray, judged: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, shares of the labellers' statistics (none unless judged), and the hashed shape of each word with the words' offsets."""
     start, end, of = word_spans(data, off)
     hashes, _ = word_hashes(data, off)
     kind = _CLASS[data]
@@ -76,28 +76,30 @@ def read(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     first, last = kind[start], kind[end - 1]
     before = np.where(length > 1, kind[np.maximum(end - 2, 0)], 0)
     upper, odd = inside(kind == 1), inside((kind >= 4))
-    plain = inside((kind == 0) | (kind == 1))
+    plain = inside((kind == 0) | (kind == 1)) if judged else upper
     inner = np.ones(len(start), dtype=bool)
     inner[of[:-1][of[:-1] < of[1:]]] = False
     same = inner.copy()
     if len(hashes):
         same[1:] &= hashes[1:] == hashes[:-1]
-    flags = {
-        "symbols": (last == 4) & (before == 4),
-        "shouts": (last == 5) & (before == 5),
-        "capitals": (upper >= 2) & (upper == plain),
-        "bars": (first == 6) & (length == 1),
-        "repeats": same,
-        "marked": odd > 0,
-        "echoes": _echoes(hashes, of),
-        "links": _links(data, start, end),
-        "numbers": inside(_LETTER[data]) == 0,
-        "lengths": (length > 20) | ((length == 1) & ~_VOWEL[data[start]] & _LETTER[data[start]]),
-    }
-    n = np.diff(of)
-    counts = [_lines(data, off) if name == "lines" else _counts(flags[name], of) / np.maximum(n, 1) for name, _, _ in LABELLERS]
-    shares = np.stack(counts, axis=1)
-    shape = np.stack((first, last, before, np.minimum(length, 15), np.minimum(upper, 3), np.minimum(odd, 3), same.astype(np.int64), flags["echoes"].astype(np.int64)))
+    n, echoes = np.diff(of), _echoes(hashes, of)
+    shares = np.zeros((len(n), 0))
+    if judged:
+        flags = {
+            "symbols": (last == 4) & (before == 4),
+            "shouts": (last == 5) & (before == 5),
+            "capitals": (upper >= 2) & (upper == plain),
+            "bars": (first == 6) & (length == 1),
+            "repeats": same,
+            "marked": odd > 0,
+            "echoes": echoes,
+            "links": _links(data, start, end),
+            "numbers": inside(_LETTER[data]) == 0,
+            "lengths": (length > 20) | ((length == 1) & ~_VOWEL[data[start]] & _LETTER[data[start]]),
+        }
+        counts = [_lines(data, off) if name == "lines" else _counts(flags[name], of) / np.maximum(n, 1) for name, _, _ in LABELLERS]
+        shares = np.stack(counts, axis=1)
+    shape = np.stack((first, last, before, np.minimum(length, 15), np.minimum(upper, 3), np.minimum(odd, 3), same.astype(np.int64), echoes.astype(np.int64)))
     code = np.zeros(len(start), dtype=np.uint64)
     for row in shape:
         code = (code + row.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)
@@ -222,7 +224,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                n, _, code, of = read(*buffers(text_array(batch.column("text"))))
+                n, _, code, of = read(*buffers(text_array(batch.column("text"))), judged=False)
                 yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array([r.tobytes() for r in features(n, code, of).astype(np.float32)], pa.binary())], ["place", "x"])
 
     placed = docs.select(place.alias("place"), "text")
@@ -244,7 +246,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 def score_texts(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and score of each text."""
-    n, _, code, of = read(*buffers(texts))
+    n, _, code, of = read(*buffers(texts), judged=False)
     # the weighted sum of square roots, feature by feature as documents have them
     doc = np.repeat(np.arange(len(n)), np.diff(of))
     place, many = np.unique(doc * FEATURES + code, return_counts=True)
