@@ -21,6 +21,10 @@ with nothing; vectors link only with those of equal length; a null id has n_link
 component null and counts for nobody; rows that repeat an id are vectors of their own;
 extra columns are not read; an empty table gives no rows.  A shard holds SHARD vectors and
 SHARD_BYTES of components at most, whatever their length.
+
+Memory: shards with their graphs, and blocks of queries, travel as rows of PIECE bytes, so that the
+JVM never holds one whole; a worker holds one shard and the blocks of one lane, gathers HELD bytes
+of vectors at a time, and reduces the pairs it finds to counts and a forest as it goes.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +43,11 @@ from cairn.llm.graph import components
 from cairn.llm.topk import usable
 
 #: Vectors, and bytes of components, in a shard at most, shards at least.
-SHARD, SHARD_BYTES, SHARDS = 50_000, 128 << 20, 4
-#: Queries, and bytes of components, in a block, blocks that one task takes through a graph.
-QUERIES, QUERY_BYTES, LANE = 4096, 32 << 20, 4
+SHARD, SHARD_BYTES, SHARDS = 50_000, 64 << 20, 4
+#: Queries, and bytes of components, in a block, blocks that one task takes through a graph, tasks at least.
+QUERIES, QUERY_BYTES, LANE, TASKS = 4096, 4 << 20, 16, 24
+#: Bytes of a row that holds a part of a shard or block, and such rows of a file.
+PIECE, FILE = 1 << 20, 4
 #: Links of a vector, beam of building and of the first search, how often it doubles before a shard is compared outright.
 NEIGHBOURS, BEAM, WIDENED = 16, 48, 4
 #: Points that join a graph together at most.
@@ -48,7 +55,8 @@ GROWTH = 512
 #: Planted links of a shard's audit, queries of a block's audit, share of the links to be found.
 PLANTED, AUDIT, TARGET = 300, 32, 0.99
 LEVEL = 24
-CHUNK = 1 << 16
+#: Bytes of vectors that are gathered at a time, queries that search together.
+HELD, TOGETHER = 8 << 20, 1024
 
 
 class Graph:
@@ -101,7 +109,8 @@ class Graph:
         if ids.shape[1] > 4 * m:
             top = np.argpartition(-score, 4 * m, axis=1)[:, : 4 * m]
             ids, score = np.take_along_axis(ids, top, 1), np.take_along_axis(score, top, 1)
-        chosen = self._diverse(ids, score, m)
+        step = self._rows(ids.shape[1])
+        chosen = np.concatenate([self._diverse(ids[at : at + step], score[at : at + step], m) for at in range(0, len(new), step)])
         self.links[level][new, :m] = chosen
         a = np.repeat(new, m)
         b = chosen.ravel()
@@ -113,14 +122,19 @@ class Graph:
         room = int(many.max(initial=0))
         more = np.full((len(to), room), -1, dtype=np.int32)
         more[np.repeat(np.arange(len(to)), many), np.arange(len(b)) - np.repeat(first, many)] = a
-        for at in range(0, len(to), 1024):
-            both = np.concatenate((have[at : at + 1024], more[at : at + 1024]), axis=1)
-            near = np.einsum("nkd,nd->nk", self.x[both], self.x[to[at : at + 1024]])
+        step = self._rows(width + room)
+        for at in range(0, len(to), step):
+            both = np.concatenate((have[at : at + step], more[at : at + step]), axis=1)
+            near = np.einsum("nkd,nd->nk", self.x[both], self.x[to[at : at + step]])
             near[both < 0] = -np.inf
             if both.shape[1] > 3 * width:
                 top = np.argpartition(-near, 3 * width, axis=1)[:, : 3 * width]
                 both, near = np.take_along_axis(both, top, 1), np.take_along_axis(near, top, 1)
-            self.links[level][to[at : at + 1024]] = self._diverse(both, near, width)
+            self.links[level][to[at : at + step]] = self._diverse(both, near, width)
+
+    def _rows(self, many: int = 1) -> int:
+        """Rows of so many vectors each that are gathered at a time."""
+        return max(1, HELD // (self.x.itemsize * self.x.shape[1] * max(1, many)))
 
     def _diverse(self, ids: np.ndarray, score: np.ndarray, m: int) -> np.ndarray:
         """Up to m of each row: by falling score, those nearer to the row's point than to any taken; then the best others."""
@@ -195,8 +209,9 @@ class Graph:
             np.bitwise_or.at(seen, (live[:, None], low >> 3), np.where(near < 0, 0, 1 << (low & 7)).astype(np.uint8))
             got = np.full(near.shape, -np.inf, dtype=score.dtype)
             r, c = np.nonzero(near >= 0)
-            for a in range(0, len(r), 65536):
-                got[r[a : a + 65536], c[a : a + 65536]] = np.einsum("nd,nd->n", q[live[r[a : a + 65536]]], self.x[near[r[a : a + 65536], c[a : a + 65536]]])
+            many = self._rows()
+            for a in range(0, len(r), many):
+                got[r[a : a + many], c[a : a + many]] = np.einsum("nd,nd->n", q[live[r[a : a + many]]], self.x[near[r[a : a + many], c[a : a + many]]])
             all_ids, all_score = np.concatenate((ids[live], near), axis=1), np.concatenate((score[live], got), axis=1)
             all_spent = np.concatenate((spent[live], near < 0), axis=1)
             order = np.argsort(-all_score, axis=1, kind="stable")[:, :beam]
@@ -230,73 +245,103 @@ def trusted_beam(graph: Graph, bar: float, seed: int = 0) -> tuple[int, int, int
     return 0, len(some), len(some)
 
 
-def within(graph: Graph, q: np.ndarray, bar: float, beam: int, seed: int = 0, qid: np.ndarray | None = None, xid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Pairs (query, vector) whose float32 cosine reaches bar, as far as searches that pass the audit find them; audited links, and those found.
+def audited(graph: Graph, q: np.ndarray, bar: float, beam: int, seed: int = 0, qid: np.ndarray | None = None, xid: np.ndarray | None = None) -> tuple[int, int, int]:
+    """The beam from the given one on that passes the audit of a block (0: none does), audited links, and those found.
 
     The ids of queries and vectors, if given, keep a query's match with itself out of the audit.
     """
-    if not len(graph.x) or not len(q):
-        return np.zeros(0, int), np.zeros(0, int), 0, 0
     some = np.random.default_rng(seed).permutation(len(q))[:AUDIT]
-    a, b = _outright(graph, q[some], bar)
 
     def others(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Links of each audited query to others."""
         return np.bincount(a if qid is None or xid is None else a[qid[some[a]] != xid[b]], minlength=len(some))
 
-    truth, widest = others(a, b), BEAM << WIDENED
+    truth, widest = sum(others(a, b) for a, b in _outright(graph, q[some], bar)), BEAM << WIDENED
     while 0 < beam <= widest and beam < len(graph.x):
         ids, score = graph.search(q[some], beam)
         x, y = np.nonzero(score >= bar)
         whole = (score >= bar).sum(axis=1) * 2 <= beam
         wanted, found = int(truth[whole].sum()), int(others(x, ids[x, y])[whole].sum())
         if found >= TARGET * wanted:
-            break
+            return beam, wanted, found
         beam *= 2
-    else:
-        a, b = _outright(graph, q, bar)
-        return a, b, int(truth.sum()), int(truth.sum())
-    pairs, rest = [], np.arange(len(q))
-    while len(rest):
-        if beam > widest or beam >= len(graph.x):
-            x, y = _outright(graph, q[rest], bar)
-            pairs.append((rest[x], y))
-            break
-        ids, score = graph.search(q[rest], beam)
-        hit = score >= bar
-        full = hit.sum(axis=1) * 2 > beam
-        x, y = np.nonzero(hit & ~full[:, None])
-        pairs.append((rest[x], ids[x, y].astype(np.int64)))
-        rest, beam = rest[full], beam * 4
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    return a, b, wanted, found
-
-
-def _outright(graph: Graph, q: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray]:
-    found = [(np.zeros(0, int), np.zeros(0, int))]
-    for at in range(0, len(q), 512):
-        a, b = np.nonzero(q[at : at + 512] @ graph.x.T >= bar)
-        found.append((a + at, b))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return 0, int(truth.sum()), int(truth.sum())
+
+
+def pairs_within(graph: Graph, q: np.ndarray, bar: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, vector) whose float32 cosine reaches bar, as searches of this beam find them (0: compared outright), some at a time."""
+    widest = BEAM << WIDENED
+    for at in range(0, len(q), TOGETHER):
+        rest, wide = np.arange(at, min(at + TOGETHER, len(q))), beam
+        while len(rest):
+            if not 0 < wide <= widest or wide >= len(graph.x):
+                for x, y in _outright(graph, q[rest], bar):
+                    yield rest[x], y
+                break
+            ids, score = graph.search(q[rest], wide)
+            hit = score >= bar
+            full = hit.sum(axis=1) * 2 > wide
+            x, y = np.nonzero(hit & ~full[:, None])
+            yield rest[x], ids[x, y].astype(np.int64)
+            rest, wide = rest[full], wide * 4
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the edges (a, b) connect what those before them do not."""
-    root: dict[int, int] = {}
+def within(graph: Graph, q: np.ndarray, bar: float, beam: int, seed: int = 0, qid: np.ndarray | None = None, xid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """All pairs_within by searches that pass the audit; audited links, and those found."""
+    none = np.zeros(0, int)
+    if not len(graph.x) or not len(q):
+        return none, none, 0, 0
+    beam, wanted, found = audited(graph, q, bar, beam, seed, qid, xid)
+    a, b = (np.concatenate(x) for x in zip((none, none), *pairs_within(graph, q, bar, beam)))
+    return a, b, wanted, found
 
-    def find(i: int) -> int:
-        while (up := root.setdefault(i, i)) != i:
-            root[i] = root[up]
-            i = up
-        return i
 
-    keep = np.zeros(len(a), dtype=bool)
-    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep[k] = True
-    return keep
+def _outright(graph: Graph, q: np.ndarray, bar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    step = max(1, 2 * HELD // (4 * max(1, len(graph.x))))
+    for at in range(0, len(q), step):
+        a, b = np.nonzero(q[at : at + step] @ graph.x.T >= bar)
+        yield a + at, b
+
+
+class Forest:
+    """Of all edges between some nodes those that connect what the edges before them do not."""
+
+    def __init__(self, *nodes: np.ndarray):
+        self.nodes = np.unique(np.concatenate(nodes))
+        self.root = np.arange(len(self.nodes))
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = [(self.nodes[:0], self.nodes[:0])]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        i, j = np.searchsorted(self.nodes, a), np.searchsorted(self.nodes, b)
+        while True:
+            apart = self.root[i] != self.root[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                return
+            # one edge of every node; the others are looked at again once these have been taken
+            some = np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
+            up: dict[int, int] = {}
+
+            def find(k: int) -> int:
+                while (over := up.setdefault(k, k)) != k:
+                    up[k] = up[over]
+                    k = over
+                return k
+
+            keep = np.zeros(len(some), dtype=bool)
+            for n, (x, y) in enumerate(zip(self.root[i[some]].tolist(), self.root[j[some]].tolist())):
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    keep[n] = True
+            self.edges.append((self.nodes[i[some[keep]]], self.nodes[j[some[keep]]]))
+            now = np.arange(len(self.nodes))
+            now[list(up)] = [find(k) for k in list(up)]
+            self.root = now[self.root]
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*self.edges))
+        return a, b
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None, with_recall: bool = False) -> DataFrame:
@@ -304,21 +349,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int | None
     v = F.col("embedding").cast("array<double>")
     ok = F.col("vec_id").isNotNull() & usable(v) & F.exists(v, lambda x: x != 0)
     hashes = [F.when(ok, h).alias(k) for k, h in (("k1", F.xxhash64(v)), ("k2", F.xxhash64(F.lit(7), v)))]
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), *hashes, v.alias("v"))
+    as_given = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else v
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), *hashes, as_given.alias("v"))
     made = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
     good = materialize(made.withColumn("id", F.monotonically_increasing_id()).withColumn("width", F.size("v").cast("long")), "vectors")
     n, cells, total = good.agg(F.count(F.lit(1)), F.coalesce(F.sum("width"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     shards = shards or max(SHARDS, -(-n // SHARD), -(-cells * 8 // SHARD_BYTES))
     parts = max(1, -(-n // QUERIES), -(-cells * 8 // QUERY_BYTES))
-    lanes = -(-parts // LANE)
+    lanes = max(-(-parts // LANE), min(parts, -(-TASKS // shards)))
     dealt = good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
     # numbers of partitions are given, as they hold few rows and hours of work, and are not to be put together
     spread = lambda df, many, *keys: df.repartition(min(4 * many, 10_000), *keys)
-    shard_rows = spread(dealt, shards, "width", "shard").groupBy("width", "shard").agg(F.collect_list("id").alias("ids"), F.collect_list("m").alias("sizes"), F.flatten(F.collect_list("v")).alias("flat"))
-    graphs = materialize(shard_rows.mapInArrow(_graphs(threshold), GRAPHS), "graphs")
-    asked = spread(dealt, parts, "width", "part").groupBy("width", "part").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("query_flat"))
+    in_shards = spread(dealt.select("width", "shard", "id", "m", "v"), shards, "width", "shard").groupBy("width", "shard")
+    graphs = materialize(in_shards.applyInArrow(_graphs(threshold), GRAPHS), "graphs", FILE)
+    in_parts = spread(dealt.select("width", "part", "id", "v"), parts, "width", "part").groupBy("width", "part")
+    asked = materialize(in_parts.applyInArrow(_blocks, BLOCKS), "blocks", FILE)
     met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("lane", F.pmod("part", F.lit(lanes)))
-    ready = graphs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    ready = graphs.select("width", "shard", "no", "piece", "beam").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     schema = "id long, other long, links long, wanted long, found long"
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -328,20 +375,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int | None
             cols.append([np.broadcast_to(np.asarray(x, dtype=np.int64), np.shape(id_)) for x in (id_, other, links, wanted, found)])
 
         if left.num_rows and right.num_rows:
-            xid, x = _matrix(right.column("ids"), right.column("flat"), 0, key[0].as_py())
-            size = right.column("sizes")[0].values.to_numpy()
-            graph = Graph.load(x.astype(np.float32), right.column("graph")[0].as_py())
-            for i in range(left.num_rows):
-                qid, q = _matrix(left.column("query_ids"), left.column("query_flat"), i, key[0].as_py())
-                a, b, wanted, found = within(graph, q.astype(np.float32), threshold - 1e-5, right.column("beam")[0].as_py(), qid=qid, xid=xid)
-                linked = np.concatenate([np.einsum("nd,nd->n", q[a[c : c + CHUNK]], x[b[c : c + CHUNK]]) >= threshold for c in range(0, max(1, len(a)), CHUNK)])
-                linked &= qid[a] != xid[b]
-                a, b = a[linked], b[linked]
-                links = np.zeros(len(qid), dtype=np.int64)
-                np.add.at(links, a, size[b])
-                keep = forest(qid[a], xid[b])
+            xid, size, flat, links_of = _whole(right)
+            x = Units(flat, key[0].as_py())
+            graph = Graph.load(x.single(), links_of)
+            for part in left.column("part").unique():
+                qid, flat = _whole(left.filter(pc.equal(left.column("part"), part)))
+                q = Units(flat, key[0].as_py())
+                single, bar, links, trees = q.single(), threshold - 1e-5, np.zeros(len(qid), dtype=np.int64), Forest(qid, xid)
+                beam, wanted, found = audited(graph, single, bar, right.column("beam")[0].as_py(), qid=qid, xid=xid)
+                for a, b in pairs_within(graph, single, bar, beam):
+                    for at in range(0, len(a), step := q.rows()):
+                        i, j = a[at : at + step], b[at : at + step]
+                        linked = (np.einsum("nd,nd->n", q[i], x[j]) >= threshold) & (qid[i] != xid[j])
+                        i, j = i[linked], j[linked]
+                        np.add.at(links, i, size[j])
+                        trees.add(qid[i], xid[j])
                 give(qid[links > 0], links=links[links > 0])
-                give(qid[a[keep]], other=xid[b[keep]])
+                a, b = trees.kept()
+                give(a, other=b)
                 give(np.array([-1]), wanted=wanted, found=found)
         return pa.table(dict(zip([c.split()[0] for c in schema.split(", ")], (np.concatenate(c) for c in zip(*cols)))))
 
@@ -365,24 +416,70 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int | None
     return out
 
 
-GRAPHS = "width long, shard int, ids array<long>, sizes array<long>, flat array<double>, graph binary, beam int, wanted long, found long"
+BLOCKS = "width long, part int, no int, piece binary"
+GRAPHS = "width long, shard int, no int, piece binary, beam int, wanted long, found long"
+
+
+class Units:
+    """Vectors of one width as they are given, in single precision if that holds them, and as unit vectors in double precision by row."""
+
+    def __init__(self, flat: np.ndarray, width: int):
+        self.x = flat.reshape(-1, width)
+        self.norm = np.concatenate([np.zeros(0), *(np.linalg.norm(x.astype(np.float64), axis=1) for x in self._some())])
+
+    def rows(self) -> int:
+        return max(1, HELD // (8 * self.x.shape[1]))
+
+    def _some(self) -> Iterator[np.ndarray]:
+        return (self.x[at : at + self.rows()] for at in range(0, len(self.x), self.rows()))
+
+    def __getitem__(self, rows: np.ndarray | slice) -> np.ndarray:
+        return self.x[rows] / self.norm[rows, None]
+
+    def single(self) -> np.ndarray:
+        out = np.empty(self.x.shape, dtype=np.float32)
+        for at in range(0, len(out), step := self.rows()):
+            out[at : at + step] = self[at : at + step]
+        return out
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The components of all vectors, in single precision if that holds them."""
+    flat = np.concatenate([c.flatten().to_numpy() for c in column.chunks])
+    if flat.dtype == np.float64:
+        with np.errstate(over="ignore"):
+            low = flat.astype(np.float32)
+        flat = low if np.array_equal(low, flat) else flat
+    return flat
+
+
+def _cut(table: pa.Table, name: str, whole: tuple, **more: int) -> pa.Table:
+    """Rows of PIECE bytes that hold whole for the table's width and name; more stands in the first one, beam in all."""
+    raw = pickle.dumps(whole, protocol=5)
+    pieces = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+    fields = [table.schema.field(c) for c in ("width", name)]
+    cols = {f.name: pa.array([table.column(f.name)[0].as_py()] * len(pieces), f.type) for f in fields}
+    cols |= {"no": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary())}
+    for k, v in more.items():
+        cols[k] = pa.array([v] * len(pieces), pa.int32()) if k == "beam" else pa.array([v] + [0] * (len(pieces) - 1), pa.int64())
+    return pa.table(cols)
+
+
+def _whole(table: pa.Table) -> tuple:
+    """What the rows of one shard or block hold."""
+    pieces = dict(zip(table.column("no").to_pylist(), (p for c in table.column("piece").chunks for p in c)))
+    return pickle.loads(b"".join(pieces[k].as_buffer() for k in range(len(pieces))))
 
 
 def _graphs(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                _, x = _matrix(row.column("ids"), row.column("flat"), 0, row.column("width")[0].as_py())
-                graph = Graph(x.astype(np.float32))
-                beam, wanted, found = trusted_beam(graph, threshold)
-                made = [pa.array([graph.dump()], pa.binary()), pa.array([beam], pa.int32()), pa.array([wanted]), pa.array([found])]
-                yield pa.RecordBatch.from_arrays([*row.columns, *made], [x.split()[0] for x in GRAPHS.split(", ")])
+    def run(table: pa.Table) -> pa.Table:
+        flat = _flat(table.column("v"))
+        graph = Graph(Units(flat, table.column("width")[0].as_py()).single())
+        beam, wanted, found = trusted_beam(graph, threshold)
+        return _cut(table, "shard", (table.column("id").to_numpy(), table.column("m").to_numpy(), flat, graph.dump()), beam=beam, wanted=wanted, found=found)
 
     return run
 
 
-def _matrix(ids: pa.Array | pa.ChunkedArray, flat: pa.Array | pa.ChunkedArray, i: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors in double precision of the i-th row."""
-    x = flat[i].values.to_numpy().reshape(-1, width)
-    return ids[i].values.to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)
+def _blocks(table: pa.Table) -> pa.Table:
+    return _cut(table, "part", (table.column("id").to_numpy(), _flat(table.column("v"))))

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -641,6 +642,51 @@ def test_rare_links_are_found(spark, n, width, noise):
     assert all(y["n_links"] <= truth[y["vec_id"]] for y in got) and sum(y["n_links"] for y in got) >= 0.99 * truth.sum() and got[0]["recall"] >= 0.99
 
 
+def test_shards_travel_in_small_rows(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(5000, 64)).astype(np.float32)
+    x[4000:] = x[r.integers(0, 3, 1000)] + r.normal(scale=0.05, size=(1000, 64)).astype(np.float32)
+    settled, settle = [], hnsw.materialize
+    monkeypatch.setattr(hnsw, "materialize", lambda *a: settled.append(settle(*a)) or settled[-1])
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x))})).repartition(4)
+    got = {y["vec_id"]: y["n_links"] for y in hnsw.near_vectors(rows, shards=1).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert [got[i] for i in range(len(x))] == ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+    for t in settled:
+        for name, kind in t.dtypes:
+            if kind == "binary" or kind.startswith("array"):
+                size = F.octet_length(name) if kind == "binary" else F.size(name) * 8
+                assert (t.agg(F.max(size)).first()[0] or 0) <= 1 << 20, (t.columns, name)
+
+
+def test_all_pairs_of_a_dense_shard_come_some_at_a_time():
+    x = np.random.default_rng(2).normal(size=(6000, 16)).astype(np.float32) * 0.01 + 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = [len(a) for a, _ in hnsw.pairs_within(hnsw.Graph(x), x[:3000], 0.9, 0)]
+    assert sum(sizes) == 3000 * 6000 and max(sizes) <= hnsw.HELD // 2
+
+
+def test_forest_of_edges_in_parts():
+    r = np.random.default_rng(7)
+    nodes = r.permutation(100_000)[:900] - 50_000
+    a, b = nodes[r.integers(0, 450, 4000)], nodes[450 + r.integers(0, 450, 4000) // 9]
+    made = hnsw.Forest(nodes)
+    for at in range(0, 4000, 700):
+        made.add(a[at : at + 700], b[at : at + 700])
+
+    def components(a, b):
+        low = {int(i): int(i) for i in nodes}
+        for _ in range(30):
+            for i, j in zip(a.tolist(), b.tolist()):
+                low[i] = low[j] = min(low[i], low[j])
+        return low
+
+    kept = made.kept()
+    whole = components(a, b)
+    assert components(*kept) == whole and len(kept[0]) == len(nodes) - len(set(whole.values()))
+    assert set(zip(*kept)) <= set(zip(a, b))
+
+
 def test_copies_of_vectors_are_one_vertex(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(40, 12))
