@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +38,17 @@ def test_sizes(spark, size, text):
 @pytest.mark.parametrize("size, text", [(1152, "1.12 KB"), (9856, "9.62 KB"), (1408, "1.38 KB"), (1153, "1.13 KB"), (1151, "1.12 KB"), ((1 << 20) + (1 << 17), "1.12 MB"), ((1 << 20) + (1 << 17) + 1, "1.13 MB"), (None, None)])
 def test_sizes_halfway_go_to_the_even_digit(spark, size, text):
     assert spark.range(1).select(content.human_size(F.lit(size).cast("long"))).first()[0] == text
+
+
+def test_path_forms_of_halfway_sizes_as_in_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    sizes = [None, 0, 1, 1023, 1024, *range(1025, 4000), 9856, *range((1 << 20) - 2, (1 << 20) + 3), *range(1 << 20, 1 << 22, 1 << 17)]
+    rows = [(k, f"https://a.example.com/en/{k}{'/' if k % 2 else ''}?x", None if n is None else "x" * n) for k, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = entry.queries()["path_forms"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = con.execute(entry.oracle_sql()["path_forms"])
+    assert got.columns == [c[0] for c in wanted.description]
+    assert sorted(map(tuple, got.collect())) == sorted(wanted.fetchall())
