@@ -55,8 +55,8 @@ GROWTH = 512
 #: Planted links of a shard's audit, queries of a block's audit, share of the links to be found.
 PLANTED, AUDIT, TARGET = 300, 32, 0.99
 LEVEL = 24
-#: Bytes of vectors that are gathered at a time, queries that search together.
-HELD, TOGETHER = 8 << 20, 1024
+#: Bytes of vectors that are gathered at a time, and so many that they stay in a core's cache; queries that search together.
+HELD, CACHED, TOGETHER = 8 << 20, 1 << 19, 512
 
 
 class Graph:
@@ -67,10 +67,11 @@ class Graph:
         n = len(x)
         r = np.random.default_rng(seed)
         height = np.floor(-np.log(r.random(n)) / np.log(LEVEL)).astype(int) if n else np.zeros(0, int)
-        self.nodes: list[np.ndarray] = []  # by level, vectors in the order of insertion
+        order = np.argsort(-height, kind="stable")
+        self.nodes: list[np.ndarray] = []  # by level, vectors in the order of insertion, those of the level above first
         level = 0
         while level == 0 or (height >= level).sum() > LEVEL:
-            self.nodes.append(np.flatnonzero(height >= level))
+            self.nodes.append(order[: (height >= level).sum()])
             level += 1
         self.links = [np.full((n, 2 * NEIGHBOURS if lv == 0 else NEIGHBOURS), -1, dtype=np.int32) for lv in range(level)]
         self.size: list[int] = [0] * level
@@ -89,16 +90,46 @@ class Graph:
 
     def _build(self, level: int) -> None:
         nodes = self.nodes[level]
-        done = min(len(nodes), 256)
-        if done:
-            self._join(level, nodes[:done], [(nodes[:done], self.x[nodes[:done]] @ self.x[nodes[:done]].T)])
-        self.size[level] = done
+        above = len(self.nodes[level + 1]) if level + 1 < len(self.nodes) else 0
+        done = 0
         while done < len(nodes):
             new = nodes[done : done + min(max(256, done // 2), GROWTH)]
-            ids, score = self.search(self.x[new], BEAM, level)
-            self._join(level, new, [(ids, score), (new, self.x[new] @ self.x[new].T)])
+            if done < max(256, above):  # searches of this level start at those of the level above, so these stand first
+                near = nodes[: done + len(new)]
+                self._join(level, new, [(near, self.x[new] @ self.x[near].T)])
+            else:
+                ids, score = self.search(self.x[new], BEAM, level)
+                self._join(level, new, [(ids, score), (new, self.x[new] @ self.x[new].T)])
             done += len(new)
             self.size[level] = done
+        self._reach(level)
+
+    def _reach(self, level: int) -> None:
+        """Link what no walk over a level can come to, as all its neighbours chose others, from the nearest neighbour that walks come to."""
+        nodes, reached = self.nodes[level], np.zeros(len(self.x), dtype=bool)
+        front = self.nodes[level + 1] if level + 1 < len(self.nodes) else nodes[:64]
+        while True:
+            while len(front):
+                reached[front] = True
+                front = np.unique(self.links[level][front])
+                front = front[(front >= 0) & ~reached[front]]
+            lost = nodes[~reached[nodes]]
+            if not len(lost):
+                return
+            near = self.links[level][lost]
+            score = np.where((near >= 0) & reached[near], np.einsum("nkd,nd->nk", self.x[near], self.x[lost]), -np.inf)
+            known = np.isfinite(score.max(axis=1))
+            if known.any():
+                front, by = lost[known], near[known, score[known].argmax(axis=1)]
+            else:
+                some = nodes[reached[nodes]]
+                front, by = lost[:1], some[[(self.x[some] @ self.x[lost[0]]).argmax()]]
+            order = np.argsort(by, kind="stable")
+            front, by = front[order], by[order]
+            at = (self.links[level][by] >= 0).sum(axis=1) + np.arange(len(by)) - np.searchsorted(by, by)
+            room = int(at.max()) + 1 - self.links[level].shape[1]
+            self.links[level] = np.pad(self.links[level], ((0, 0), (0, max(0, room))), constant_values=-1)
+            self.links[level][by, at] = front
 
     def _join(self, level: int, new: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Link new points to a diverse choice of found ones, and those back."""
@@ -115,22 +146,35 @@ class Graph:
         a = np.repeat(new, m)
         b = chosen.ravel()
         a, b = a[b >= 0], b[b >= 0]
+        apart = (self.links[level][b] != a[:, None]).all(axis=1)
+        a, b = a[apart], b[apart]
         order = np.argsort(b, kind="stable")
         a, b = a[order], b[order]
         to, first, many = np.unique(b, return_index=True, return_counts=True)
-        have = self.links[level][to]
-        room = int(many.max(initial=0))
-        more = np.full((len(to), room), -1, dtype=np.int32)
-        more[np.repeat(np.arange(len(to)), many), np.arange(len(b)) - np.repeat(first, many)] = a
-        step = self._rows(width + room)
-        for at in range(0, len(to), step):
-            both = np.concatenate((have[at : at + step], more[at : at + step]), axis=1)
-            near = np.einsum("nkd,nd->nk", self.x[both], self.x[to[at : at + step]])
+        nth = np.arange(len(b)) - np.repeat(first, many)
+        taken = (self.links[level][to] >= 0).sum(axis=1)
+        # lists with room take their links, which stand in front; only those that overflow are chosen anew
+        fits = np.repeat(taken + many <= width, many)
+        self.links[level][b[fits], (np.repeat(taken, many) + nth)[fits]] = a[fits]
+        over = np.flatnonzero(taken + many > width)
+        over = over[np.argsort(many[over], kind="stable")]
+        at = 0
+        while at < len(over):
+            # as many lists as may be gathered if all are as long as the last, by rising length
+            end = at + max(1, int((np.arange(1, len(over) - at + 1) * (width + many[over[at:]]) <= self._rows()).sum()))
+            some, at = over[at:end], end
+            own, room = to[some], int(many[some].max())
+            more = np.full((len(some), room), -1, dtype=np.int32)
+            row = np.repeat(np.arange(len(some)), many[some])
+            col = np.arange(len(row)) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
+            more[row, col] = a[first[some][row] + col]
+            both = np.concatenate((self.links[level][own], more), axis=1)
+            near = np.matmul(self.x.take(both, axis=0), self.x[own][:, :, None])[:, :, 0]
             near[both < 0] = -np.inf
             if both.shape[1] > 3 * width:
                 top = np.argpartition(-near, 3 * width, axis=1)[:, : 3 * width]
                 both, near = np.take_along_axis(both, top, 1), np.take_along_axis(near, top, 1)
-            self.links[level][to[at : at + step]] = self._diverse(both, near, width)
+            self.links[level][own] = self._diverse(both, near, width)
 
     def _rows(self, many: int = 1) -> int:
         """Rows of so many vectors each that are gathered at a time."""
@@ -145,15 +189,15 @@ class Graph:
         dead = same | ~np.isfinite(score)
         rows = np.arange(len(ids))
         free, taken = ~dead, np.zeros(ids.shape, dtype=bool)
-        vectors = self.x[ids]
+        vectors = self.x.take(ids, axis=0)
+        between = np.matmul(vectors, vectors.transpose(0, 2, 1))
         for _ in range(m):
             pick = free.argmax(axis=1)
             on = free[rows, pick]
             if not on.any():
                 break
             taken[rows[on], pick[on]] = True
-            near = np.einsum("nkd,nd->nk", vectors, vectors[rows, pick])
-            free &= ~(on[:, None] & (near > score))
+            free &= ~(on[:, None] & (between[rows, pick] > score))
             free[rows, pick] = False
         want = np.where(dead, 3, np.where(taken, 1, 2))
         best = np.argsort(want, axis=1, kind="stable")[:, :m]
@@ -171,52 +215,61 @@ class Graph:
         return ids, score
 
     def _walk(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray, beam: int, level: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        n, links = len(q), self.links[level]
-        pad = max(0, beam - ids.shape[1])
-        ids = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1)
-        score = np.pad(score, ((0, 0), (0, pad)), constant_values=-np.inf)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :beam]
-        ids, score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
-        spent = ids < 0
-        seen = np.zeros((n, (len(self.x) + 7) // 8), dtype=np.uint8)
+        n, size, links = len(q), len(self.x), self.links[level]
+        keys = np.full((n, max(beam, ids.shape[1])), PAD)
+        keys[:, : ids.shape[1]] = _keys(ids, score)
+        keys = np.sort(keys, axis=1)[:, :beam]
+        seen = np.zeros(n * size, dtype=bool)
+        row, col = np.nonzero(keys < PAD)
+        seen[row * size + _places(keys[row, col])] = True
         live = np.arange(n)
-        known = np.where(ids < 0, 0, ids)
-        np.bitwise_or.at(seen, (np.arange(n)[:, None], known >> 3), np.where(ids < 0, 0, 1 << (known & 7)).astype(np.uint8))
         while len(live):
             # the first few of each beam that have not been expanded
-            left = ~spent[live]
-            pick = np.argsort(~left, axis=1, kind="stable")[:, :step]
-            use = np.take_along_axis(left, pick, 1)
-            on = use[:, 0]
-            if not on.any():
+            left = (keys[live] & 1) == 0
+            row, col = np.nonzero(left & (np.cumsum(left, axis=1, dtype=np.int32) <= step))
+            live, row = live[left.any(axis=1)], live[row]
+            if not len(live):
                 break
-            live, pick, use = live[on], pick[on], use[on]
-            at = ids[live[:, None], pick]
-            spent[live[:, None], pick] = True
-            near = links[at]
-            near[~use] = -1
-            near = near.reshape(len(live), -1)
-            low = np.where(near < 0, 0, near)
-            old = (seen[live[:, None], low >> 3] >> (low & 7).astype(np.uint8)) & 1
-            near = np.where((near < 0) | (old == 1), -1, near)
-            near = np.sort(near, axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            keep = int((near >= 0).sum(axis=1).max(initial=0))
-            if keep == 0:
-                continue
-            near = -np.sort(-near, axis=1)[:, :keep]
-            low = np.where(near < 0, 0, near)
-            np.bitwise_or.at(seen, (live[:, None], low >> 3), np.where(near < 0, 0, 1 << (low & 7)).astype(np.uint8))
-            got = np.full(near.shape, -np.inf, dtype=score.dtype)
-            r, c = np.nonzero(near >= 0)
-            many = self._rows()
-            for a in range(0, len(r), many):
-                got[r[a : a + many], c[a : a + many]] = np.einsum("nd,nd->n", q[live[r[a : a + many]]], self.x[near[r[a : a + many], c[a : a + many]]])
-            all_ids, all_score = np.concatenate((ids[live], near), axis=1), np.concatenate((score[live], got), axis=1)
-            all_spent = np.concatenate((spent[live], near < 0), axis=1)
-            order = np.argsort(-all_score, axis=1, kind="stable")[:, :beam]
-            ids[live], score[live], spent[live] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_score, order, 1), np.take_along_axis(all_spent, order, 1)
-        return ids, score
+            near = links[_places(keys[row, col])]
+            keys[row, col] |= 1
+            cell = (row[:, None] * size + near)[near >= 0]
+            cell = np.sort(cell[~seen[cell]])
+            cell = cell[np.diff(cell, prepend=-1) > 0]
+            seen[cell] = True
+            row = cell // size
+            col = cell - row * size
+            got = np.empty(len(cell), dtype=np.float32)
+            for at in range(0, len(cell), many := max(1, CACHED // (4 * self.x.shape[1]))):
+                got[at : at + many] = np.einsum("nd,nd->n", q.take(row[at : at + many], axis=0), self.x.take(col[at : at + many], axis=0))
+            new = _keys(col, got)
+            better = new < keys[row, -1]
+            row, new = row[better], new[better]
+            head = np.flatnonzero(np.diff(row, prepend=-1))
+            many = np.diff(head, append=len(row))
+            more = np.full((len(head), int(many.max(initial=0))), PAD)
+            more[np.repeat(np.arange(len(head)), many), np.arange(len(row)) - np.repeat(head, many)] = new
+            keys[row[head]] = np.sort(np.concatenate((keys[row[head]], more), axis=1), axis=1)[:, :beam]
+        return np.where(keys < PAD, _places(keys), -1).astype(np.int32), np.where(keys < PAD, _scores(keys), -np.inf).astype(np.float32)
+
+
+#: The key of a free place in a beam.
+PAD = np.iinfo(np.int64).max
+
+
+def _keys(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Integers that sort by falling float32 score, then by id, with a last bit that is set once the vector has been expanded; PAD for id -1."""
+    bits = np.ascontiguousarray(score, dtype=np.float32).view(np.int32)
+    rising = bits ^ ((bits >> 31) & 0x7FFFFFFF)
+    return np.where(ids < 0, PAD, (~rising).astype(np.int64) << 32 | ids.astype(np.int64) << 1)
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (keys & 0xFFFFFFFF) >> 1
+
+
+def _scores(keys: np.ndarray) -> np.ndarray:
+    rising = ~(keys >> 32).astype(np.int32)
+    return (rising ^ ((rising >> 31) & 0x7FFFFFFF)).view(np.float32)
 
 
 def turned(x: np.ndarray, cosine: np.ndarray, seed: int) -> np.ndarray:
@@ -270,20 +323,20 @@ def audited(graph: Graph, q: np.ndarray, bar: float, beam: int, seed: int = 0, q
 
 def pairs_within(graph: Graph, q: np.ndarray, bar: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (query, vector) whose float32 cosine reaches bar, as searches of this beam find them (0: compared outright), some at a time."""
-    widest = BEAM << WIDENED
-    for at in range(0, len(q), TOGETHER):
-        rest, wide = np.arange(at, min(at + TOGETHER, len(q))), beam
-        while len(rest):
-            if not 0 < wide <= widest or wide >= len(graph.x):
-                for x, y in _outright(graph, q[rest], bar):
-                    yield rest[x], y
-                break
-            ids, score = graph.search(q[rest], wide)
+    rest, wide, widest = np.arange(len(q)), beam, BEAM << WIDENED
+    while len(rest) and 0 < wide <= widest and wide < len(graph.x):
+        full = []
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            ids, score = graph.search(q[some], wide)
             hit = score >= bar
-            full = hit.sum(axis=1) * 2 > wide
-            x, y = np.nonzero(hit & ~full[:, None])
-            yield rest[x], ids[x, y].astype(np.int64)
-            rest, wide = rest[full], wide * 4
+            many = hit.sum(axis=1) * 2 > wide
+            x, y = np.nonzero(hit & ~many[:, None])
+            yield some[x], ids[x, y].astype(np.int64)
+            full.append(some[many])
+        rest, wide = np.concatenate(full), wide * 4
+    for x, y in _outright(graph, q[rest], bar):
+        yield rest[x], y
 
 
 def within(graph: Graph, q: np.ndarray, bar: float, beam: int, seed: int = 0, qid: np.ndarray | None = None, xid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:

@@ -603,6 +603,49 @@ def test_graph_recall():
     assert truth[a, b].all() and len(a) >= 0.99 * truth.sum() and found >= 0.99 * wanted
 
 
+def test_building_chooses_only_full_lists_anew(monkeypatch):
+    x = np.random.default_rng(11).normal(size=(4000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists, diverse = [], hnsw.Graph._diverse
+    monkeypatch.setattr(hnsw.Graph, "_diverse", lambda self, ids, *a: lists.append(len(ids)) or diverse(self, ids, *a))
+    graph = hnsw.Graph(x)
+    assert sum(lists) <= 3.5 * len(x)
+    for level, links in enumerate(graph.links):
+        made = np.flatnonzero((links >= 0).any(axis=1))
+        assert set(made) <= set(graph.nodes[level]) and (links != np.arange(len(x))[:, None]).all()
+        assert all(len(np.unique(w[w >= 0])) == (w >= 0).sum() for w in links)
+
+
+def test_every_vector_of_a_graph_is_come_to():
+    r = np.random.default_rng(12)
+    x = r.normal(size=(3000, 32))
+    x[1000:] = x[r.integers(0, 15, 2000)] + r.normal(scale=0.05, size=(2000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = hnsw.Graph(x)
+    alone = np.setdiff1d(graph.nodes[0], graph.nodes[1])[[5, 900, 901, 1500]]
+    graph.links[0] = np.where(np.isin(graph.links[0], alone), -1, graph.links[0])
+    graph.links[0] = -np.sort(-graph.links[0], axis=1)
+    assert not (graph.search(x[alone], 48)[0] == alone[:, None]).any()
+    graph._reach(0)
+    assert (graph.search(x[alone], 192)[0] == alone[:, None]).any(axis=1).all()
+
+
+def test_full_beams_of_a_block_are_widened_together(monkeypatch):
+    r = np.random.default_rng(13)
+    x = r.normal(size=(6000, 32))
+    x[5000:] = x[0] + r.normal(scale=0.02, size=(1000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph, beams, search = hnsw.Graph(x), [], hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, q, beam, stop=0: beams.append(beam) or search(self, q, beam, stop))
+    block = np.concatenate([x[1 + 1024 * k : 1024 * (k + 1)] for k in range(4)] + [x[5000:5004]])[np.arange(4096) * 5 % 4096]
+    pairs = {(i, j) for a, b in hnsw.pairs_within(graph, block, 0.9, 48) for i, j in zip(a.tolist(), b.tolist())}
+    assert sorted(b for b in beams if b > 48) == [192, 768]
+    truth = block @ x.T >= 0.9
+    dense = set(np.flatnonzero(truth.sum(axis=1) > 1).tolist())
+    assert len(dense) == 4 and sum(i in dense for i, _ in pairs) == 4 * 1001
+    assert all(truth[i, j] for i, j in pairs) and len(pairs) >= 0.99 * truth.sum()
+
+
 def test_planted_links_are_at_their_cosines():
     r = np.random.default_rng(4)
     x = r.normal(size=(50, 24))
